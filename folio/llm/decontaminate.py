@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import small, table
+from folio.llm.common import small, table, written
 
 WINDOW = 13
 #: N-grams of items that may go with the tasks as a hash set.
@@ -107,9 +107,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents") ->
         raise ValueError(mode)
     found = scan(docs, bench)
     if mode == "documents":
-        bad = found.where("contaminated").select("doc_id").distinct().persist()
-        rows = bad.count()
-        return docs.join(small(bad, rows), "doc_id", "left_anti").select(*docs.columns)
+        bad = written(found.where("contaminated").select("doc_id").distinct(), "contaminated")
+        return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(*docs.columns)
     spans = found.where("n_hit > 0").select("doc_id", F.col("spans").alias("_spans"))
     gaps, ws = F.split("text", WORD, -1), words(F.col("text"))
     kept = F.transform(ws, lambda w, i: F.concat(F.get(gaps, i), F.when(F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["end"])), F.lit("")).otherwise(w)))

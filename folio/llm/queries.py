@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, chat, decontaminate, langid, secrets, tokencount, toxicity, warc
+from folio.llm import bpe, chat, decontaminate, jaccard, langid, neighbours, secrets, tokencount, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_neighbours": neighbours.op2_neighbours,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_secrets": secrets.op4_secrets,
     "op5_chat": chat.op5_chat,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLE: dict[str, str] = chat.ORACLE | warc.ORACLE | decontaminate.ORACLE
+ORACLE: dict[str, str] = jaccard.ORACLE | chat.ORACLE | warc.ORACLE | decontaminate.ORACLE
