@@ -50,7 +50,7 @@ def field_of(path: Column) -> Column:
 
 def model_cost(inp: Column, write: Column, read: Column, out: Column, price_in: float, price_out: float, read_share: float = 0.1) -> Column:
     """Price of a call: cache writes cost 1.25 times, cache reads read_share times the price of input; prices a million."""
-    d = lambda x: F.lit(str(x)).cast("decimal(10,4)")
+    d = lambda x: F.lit(str(x)).cast("decimal(12,4)")
     used = inp.cast("decimal(18,2)") + write.cast("decimal(18,2)") * d(1.25) + read.cast("decimal(18,2)") * d(read_share)
     return ((used * d(price_in) + out.cast("decimal(18,2)") * d(price_out)) / F.lit(1_000_000)).cast("decimal(18,6)")
 
