@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import shared_dir, table
+from folio.llm.common import shared_dir, small, table, written
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -41,8 +41,9 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     base = base.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))})
     groups = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").drop("n")
-    return base.join(groups, ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))).drop("top")
+    # only the groups' digests are joined: no payload is shuffled while they are few enough to be broadcast
+    groups = written(groups.where("n > 1").drop("n"), "groups")
+    return base.join(small(groups, groups.count()), ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))).drop("top")
 
 
 def write(planned: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records: int = RECORDS) -> None:
