@@ -13,7 +13,8 @@ the whole list, block by block within tasks, and only links that join components
 is lost, and work beyond the pivots is proportional to those others. Components are found by alternating large-star and
 small-star steps on written tables.
 
-Shingles and sets are told apart by 64-bit hashes.
+Shingles and sets are told apart by 64-bit hashes; when two sets are compared, their shingles by 40 bits of them (two sets of
+300 shingles agree in one by chance once in ten million comparisons, which matters only to a pair right at the limit).
 
 Cases: null or wordless text has no shingles, n_shingles 0 and its own id as component_id; fewer than four words are one
 shingle; equal sets are linked; the component's name is its smallest doc_id; repeated rows give repeated rows; an empty
@@ -31,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import chunks, small, table, written
+from folio.llm.common import arrow_rows, chunks, forget, small, table, written
 
 WORDS = 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Counters of the sketch, and parts in which it is summed.
-SKETCH, PARTS = 1 << 20, 16
+SKETCH, PARTS = 1 << 22, 16
 LIGHT = 64
 PIVOTS = 4
-BLOCK = 1500
+BLOCK = 1000
 #: Sets of more shingles never enumerate subsets.
 SMALLEST = 20
 
@@ -158,7 +159,8 @@ def _texts(batch) -> list[str]:
 
 def sketch(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     """Counts of all shingles by their low bits, and how many sets are of each size up to SMALLEST (twice that for
-    partners). Each task sends its counters once; they are summed in PARTS parts."""
+    partners). Each task sends its counters once, in 16 bits (a task's larger counts stay at their limit: enough to come
+    last in the order); they are summed in PARTS parts."""
     size = SKETCH // PARTS
 
     def count(batches):
@@ -168,12 +170,12 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
                 sizes[min(len(s), size - 1)] += 1
                 np.add.at(total, s & np.uint64(SKETCH - 1), 1)
         parts = [*total.reshape(PARTS, size), sizes]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([np.minimum(p, 0xFFFFFFFF).astype("<u4").tobytes() for p in parts], pa.binary())], ["part", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([np.minimum(p, 0xFFFF).astype("<u2").tobytes() for p in parts], pa.binary())], ["part", "n"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
         for x in group.column("n"):
-            total += np.frombuffer(x.as_py(), "<u4")
+            total += np.frombuffer(x.as_py(), "<u2")
         return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
     got = {r["part"]: np.frombuffer(r["n"], "<u4") for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()}
@@ -203,13 +205,24 @@ def posted(docs: DataFrame, counts: np.ndarray, boundary: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, posts array<long>")
 
 
+def packed(elements: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, 5 bytes each."""
+    return np.ascontiguousarray((elements >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """rid, elements (binary of sorted 64-bit hashes) of documents."""
+    """rid, elements (packed hashes) of documents."""
 
     def run(batches):
         for batch in batches:
             sets = [s for s in shingle_sets(_texts(batch)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["rid", "elements"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "rid long, elements binary")
 
@@ -224,23 +237,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for x, y, ex, ey in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                p, q = np.frombuffer(ex, np.uint64), np.frombuffer(ey, np.uint64)
+            for x, y, ex, ey in zip(*(batch.column(i) for i in range(4)), strict=True):
+                p, q = unpacked(ex.as_py()), unpacked(ey.as_py())
                 both = np.sort(np.concatenate((p, q)))
                 if linked(int((both[1:] == both[:-1]).sum()), len(p), len(q)):
-                    a.append(x)
-                    b.append(y)
+                    a.append(x.as_py())
+                    b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     side = lambda name, e: sets.select(F.col("rid").alias(name), F.col("elements").alias(e))
-    return pairs.join(side("a", "ea"), "a").join(side("b", "eb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return small(pairs, pairs.count()).join(side("a", "ea"), "a").join(side("b", "eb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
 def joining(group: pa.Table) -> pa.Table:
     """Links of a block that join components: each of the block's `asking` sets against all its sets. Columns asking, rid,
     comp, elements."""
     rid, comp, asking = (group.column(c).to_numpy() for c in ("rid", "comp", "asking"))
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("elements")]
+    sets = [unpacked(x.as_py()) for x in group.column("elements")]
     lens = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     at = np.concatenate(([0], np.cumsum(lens)))
@@ -295,14 +308,23 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+    """doc_id, n_shingles, component_id of each document. All Python runs before this returns, on small Arrow batches."""
+    with arrow_rows(docs.sparkSession, 1000):
+        return _join(docs)
+
+
+def _join(docs: DataFrame) -> DataFrame:
     counts, histogram = sketch(docs)
-    all_docs = written(posted(docs, counts, choose_boundary(histogram)), "posted")
-    classes = written(all_docs.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("posts").alias("posts")), "classes")
-    posts = classes.select(F.explode("posts").alias("e"), "rid", "n")
-    lists = written(posts.groupBy("e").agg(F.count("*").alias("size"), F.min("rid").alias("a"), F.max("rid").alias("b")).where("size > 1"), "lists")
-    longer = lists.where("size > 2").select("e", "size")
-    members = written(posts.join(small(longer, longer.count()), "e"), "members")
+    first = written(posted(docs, counts, choose_boundary(histogram)), "posted")
+    all_docs = written(first.select("doc_id", "n", "rid"), "documents")
+    classes = written(all_docs.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # one document posts for each class of equal sets; the others' postings are left out by a join on their ids alone
+    copies = written(all_docs.where("n > 0").join(classes.withColumnRenamed("doc_id", "one"), "rid").where("doc_id <> one or doc_id is null").select(F.col("doc_id").alias("d"), F.col("rid").alias("r")), "copies")
+    unique = first.where("n > 0").join(small(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left_anti")
+    posts = unique.select(F.explode("posts").alias("e"), "rid", "n")
+    lists = written(posts.groupBy("e").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    members = written(posts.join(small(lists, lists.count()), "e"), "members")
+    forget(first)
     pair = lambda x, y: F.struct(F.least(x["rid"], y["rid"]).alias("a"), F.greatest(x["rid"], y["rid"]).alias("b"))
     fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * PERCENT
     light = members.where(F.col("size") <= LIGHT).groupBy("e").agg(F.array_sort(F.collect_list(F.struct("rid", "n"))).alias("own")).select("own").distinct()
@@ -314,11 +336,11 @@ def join(docs: DataFrame) -> DataFrame:
     same = same.groupBy("size", "x", "y").agg(F.min("e").alias("e"), *(F.min(p).alias(p) for p in pivots)).select("e", *pivots)
     heavy = written(heavy.join(same, "e"), "heavy")
     star = heavy.select(F.explode(F.array(*pivots)).alias("p"), "rid").where("p <> rid").select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b"))
-    pairs = written(lists.where("size = 2").select("a", "b").unionAll(light).unionAll(star).distinct(), "pairs")
+    pairs = written(light.unionAll(star).distinct(), "pairs")
     # whole sets, only of those that are compared
-    wanted = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).unionAll(heavy.select("rid")).distinct()
     ids = written(classes.join(wanted, "rid", "left_semi").select("doc_id"), "wanted")
-    sets = written(sets_of(docs.join(small(ids, ids.count()), "doc_id", "left_semi")).dropDuplicates(["rid"]), "sets")
+    sets = written(sets_of(docs.join(small(ids, ids.count()), "doc_id", "left_semi")), "sets")
     edges = written(verified(pairs, sets), "links")
     roots = components(edges)
     if heavy.limit(1).count():
@@ -332,7 +354,8 @@ def join(docs: DataFrame) -> DataFrame:
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         asking = placed.where("asking = 1").select("e", "rid", "comp", "asking", slot("sheets").alias("sheet"), every("blocks").alias("block"))
         others = placed.select("e", "rid", "comp", F.lit(0).alias("asking"), every("sheets").alias("sheet"), slot("blocks").alias("block"))
-        cells = asking.unionByName(others).join(sets, "rid")
+        cells = written(asking.unionByName(others), "cells")
+        cells = small(cells, cells.count()).join(sets, "rid")
         more = cells.groupBy("e", "sheet", "block").applyInArrow(joining, "a long, b long")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     named = classes.select("rid", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"), "doc_id")
