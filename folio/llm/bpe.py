@@ -4,7 +4,7 @@ Each match of the split pattern is merged on its own. A segment tree over the by
 pair that starts at each live position, rank * 2^32 + position; its root is the leftmost pair of least rank. A merge sets
 three leaves (the pair itself, its dead right neighbour, the pair before it) and repairs their ancestors, so it costs
 O(log n). Short pieces of a batch are merged side by side, one tree per array column; long pieces get a tree of their own.
-Finished pieces are kept in a bounded per-worker table, which saves work and never changes results.
+Finished pieces are kept in a bounded per-task table, which saves work and never changes results.
 
 Cases: null text is the empty text (0 tokens, digests of no bytes); ties of rank go to the leftmost pair; repeated rows
 give repeated rows; an empty table gives an empty table; only the id and text columns are read, so other columns can't clash.
@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import chunks, table
+from folio.llm.common import chunks, table, tidy
 
 INF = np.int64(1) << 62
 LOW = np.int64((1 << 32) - 1)
 #: Pieces of at most so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
-#: Pieces a worker remembers.
-REMEMBERED = 800_000
+#: Pieces a task remembers.
+REMEMBERED = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -204,6 +204,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_batch(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.known.clear()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -233,6 +235,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.known.clear()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 

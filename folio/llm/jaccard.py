@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_rows, chunks, forget, small, table, written
+from folio.llm.common import arrow_rows, chunks, forget, small, table, tidy, written
 
 WORDS = 4
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -171,6 +171,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
                 np.add.at(total, s & np.uint64(SKETCH - 1), 1)
         parts = [*total.reshape(PARTS, size), sizes]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([np.minimum(p, 0xFFFF).astype("<u2").tobytes() for p in parts], pa.binary())], ["part", "n"])
+        tidy()
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
@@ -201,6 +202,7 @@ def posted(docs: DataFrame, counts: np.ndarray, boundary: int) -> DataFrame:
                 rid.append(identity(s) if len(s) else None)
                 posts.append(postings(s, held.value, boundary).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(posts, pa.list_(pa.int64()))], ["doc_id", "n", "rid", "posts"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, posts array<long>")
 
@@ -223,6 +225,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [s for s in shingle_sets(_texts(batch)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["rid", "elements"])
+        tidy()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "rid long, elements binary")
 
@@ -244,6 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     a.append(x.as_py())
                     b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        tidy()
 
     side = lambda name, e: sets.select(F.col("rid").alias(name), F.col("elements").alias(e))
     return small(pairs, pairs.count()).join(side("a", "ea"), "a").join(side("b", "eb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")

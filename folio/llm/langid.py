@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import chunks, code_points, letters, remainder, table
+from folio.llm.common import chunks, code_points, letters, remainder, table, tidy
 
 DIM = 4096
 SAMPLE = 1500
@@ -139,6 +139,7 @@ def filtered(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             keep = [not rejected for _, _, rejected in held.value.predict([t or "" for t in batch.column(at).to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
