@@ -45,8 +45,9 @@ def replayed(calls: DataFrame, limit: int) -> DataFrame:
     return rows.repartition("client").sortWithinPartitions("client", "at", "call_id").mapInPandas(run, RESULT)
 
 
-def limited(calls: DataFrame, limit: int) -> DataFrame:
-    """The same over a stream; clients idle for a window give up their state."""
+def limited(calls: DataFrame, limit: int, evict: bool = True) -> DataFrame:
+    """The same over a stream; clients idle for a window give up their state. Timeouts keep a query that should end when its
+    input does (trigger availableNow) running: pass evict=False there."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,7 +57,8 @@ def limited(calls: DataFrame, limit: int) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["at", "call_id"])  # one trigger's calls of one client
         yield pd.DataFrame([(c, i, at, *step(hits, at, limit)) for c, i, at in rows[["client", "call_id", "at"]].itertuples(index=False)], columns=["client", "call_id", "at", "allowed", "retry_after"])
         state.update((list(hits),))
-        state.setTimeoutDuration(int(WINDOW * 1000))
+        if evict:
+            state.setTimeoutDuration(int(WINDOW * 1000))
 
     rows = calls.select("client", "call_id", F.col("at").cast("double")).where("client IS NOT NULL AND at IS NOT NULL")
-    return rows.groupBy("client").applyInPandasWithState(run, RESULT, "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(run, RESULT, "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)

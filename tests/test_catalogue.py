@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from folio.plans import catalogue
+from folio.plans import catalogue, documents
+
+QUERIES, ORACLE = catalogue.QUERIES | documents.QUERIES, catalogue.ORACLE | documents.ORACLE
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,14 +34,24 @@ def rows(frame, columns):
     return sorted(tuple(map(shown, r)) for r in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, con, name):
-    got, want = catalogue.QUERIES[name](spark, DIR).toPandas(), con.execute(catalogue.ORACLE[name]).df()
+    got, want = QUERIES[name](spark, DIR).toPandas(), con.execute(ORACLE[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_documents_without_sql(spark):
+    from folio.functions import masking, printed
+
+    for r in documents.sc_printed_amounts(spark, DIR).join(documents.pii_masked(spark, DIR), "doc_id").join(spark.read.parquet(f"{DIR}/documents.parquet"), "doc_id").collect():
+        assert r["amounts"] == [format(x, "f") for x in printed.printed_amounts(r["text"], 2)]
+        assert r["hidden"] == (masking.mask_cards(r["text"]) != r["text"])
+    events = spark.read.parquet(f"{DIR}/events.parquet").count()
+    assert documents.str_limiter_replay(spark, DIR).count() == documents.str_job_replay(spark, DIR).count() == events
+
+
 def test_no_python_in_native_plans(spark):
     for name in ("fq_currency_totals", "ag_daily_metrics", "hyb_rrf", "rcl_status_fold"):
         plan = catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()

@@ -34,8 +34,8 @@ def test_limiter_stream(spark, tmp_path):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{n:04}.json").write_text("".join(json.dumps(dict(zip(("client", "call_id", "at"), r, strict=True))) + "\n" for r in rows[n : n + 200]))
     stream = spark.readStream.schema("client string, call_id bigint, at double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = limiter.limited(stream, 5).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = limiter.limited(stream, 5, evict=False).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert {r["call_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == brute(rows, 5)
 
 
@@ -56,7 +56,7 @@ def test_jobs(spark, tmp_path):
     df.repartition(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
     query = jobs.followed(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert {(r["job_id"], r["seq"]): (r["outcome"], r["state"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == WANT
 
 
