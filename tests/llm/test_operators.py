@@ -82,6 +82,24 @@ def test_neighbours(spark):
     assert neighbours.search(e.limit(0), e.limit(0)).count() == 0
 
 
+def test_neighbours_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    v = (np.repeat(rng.normal(size=(20, 32)), 30, 0) + 0.1 * rng.normal(size=(600, 32))).astype(np.float32).astype(float)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    once, often = (spark.createDataFrame(rows * n, "vec_id long, embedding array<double>") for n in (1, 5))
+    got = [neighbours.search(e, e.where("vec_id % 20 = 0"), part=64).toPandas().sort_values(["query_id", "rank"]).values.tolist() for e in (once, often)]
+    assert [r[:3] for r in got[0]] == [r[:3] for r in got[1]] and np.allclose([r[3] for r in got[0]], [r[3] for r in got[1]])
+    # rows of one vec_id that differ: each vec_id counts once, with its best row; one vec_id holds a third of all rows
+    many = [(1, [float(x) for x in v[1] + 0.001 * j]) for j in range(300)]
+    found = neighbours.search(spark.createDataFrame(rows + many, "vec_id long, embedding array<double>"), once.where("vec_id = 0"), part=64).toPandas()
+    s = v @ v[0]
+    s[1] = max([s[1], *(np.array(x) @ v[0] for _, x in many)])
+    want = [i for i in np.lexsort((np.arange(600), -s)) if i != 0][:20]
+    assert len(set(found.vec_id)) == 20 and len(set(want) & set(found.vec_id)) / 20 >= 0.9
+    ids = np.array([4, 4, 4, 5, 6])
+    assert [x[1].tolist() for x in neighbours.best(np.array([9]), np.ones((1, 1)), ids, np.array([[5.0], [4.0], [3.0], [2.0], [1.0]]), 3)] == [[4, 5, 6]]
+
+
 def test_near_by_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     p, rows = neighbours.op2_neighbours(spark, SF).toPandas(), e.toPandas()
