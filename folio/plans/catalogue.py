@@ -568,12 +568,16 @@ def rcl_failing_checks(t):
 # text
 
 
+def line_windows(docs: DataFrame) -> DataFrame:
+    """Windows of 200 characters, one each 120, over whole texts of any length, in one pass over each text."""
+    spans = docs.select("doc_id", F.length("text").cast("bigint").alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(?=(.{1,200})).{1,120}"), F.lit(1))).alias("i", "chunk"))
+    start = long("i") * 120
+    return spans.select("doc_id", start.alias("char_start"), F.least(start + 200, F.col("n")).alias("char_end"), "chunk")
+
+
 @query("SELECT doc_id, s AS char_start, least(s + 200, n) AS char_end, substring(text, s + 1, least(s + 200, n) - s) AS chunk FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 120)) AS s FROM documents WHERE n_chars BETWEEN 1 AND 3000)")
 def txt_long_line_windows(t):
-    n = F.length("text")
-    spans = t.documents.where("n_chars BETWEEN 1 AND 3000").select("doc_id", "text", n.cast("bigint").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1, F.lit(120).cast("bigint"))).alias("s"))
-    end = F.least(F.col("s") + 200, F.col("n"))
-    return spans.select("doc_id", F.col("s").alias("char_start"), end.alias("char_end"), F.substring("text", (F.col("s") + 1).cast("int"), (end - F.col("s")).cast("int")).alias("chunk"))
+    return line_windows(t.documents.where("n_chars BETWEEN 1 AND 3000"))
 
 
 @query("SELECT doc_id, trim(regexp_extract(text, '[^\\n]*[^\\n ][^\\n]*')) || ' (page 1 of 1)' AS header FROM documents")

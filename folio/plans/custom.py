@@ -1,10 +1,13 @@
-"""Queries that SQL can't express; tests hold their operators against brute force."""
+"""Queries without SQL: those that SQL can't express, and whole jobs (names in _all) of queries whose SQL reads only a part.
+Tests hold their operators against brute force, or against that SQL without its filter."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.plans import catalogue as C
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,3 +23,11 @@ def emb_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"chunk_pages": chunk_pages, "emb_hash": emb_hash}
+
+
+def txt_long_line_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every non-empty text, whatever its length."""
+    return C.line_windows(C.Tables(spark, sf_dir).documents)
+
+
+QUERIES |= {"txt_long_line_windows_all": txt_long_line_windows_all}
