@@ -474,10 +474,15 @@ def set_union_distinct(t):
     return t.customer.select(F.col("c_mktsegment").alias("name")).union(t.events.select("event_type")).union(t.documents.select("lang")).distinct()
 
 
+def ordered_dedup(docs: DataFrame) -> DataFrame:
+    """The distinct words of whole texts, in the order in which they first come."""
+    return docs.select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
+
+
 @query("""WITH w AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE n_chars < 2000))),
 f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY 1, 2) SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY 1""")
 def set_ordered_dedup(t):
-    return t.documents.where("n_chars < 2000").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
+    return ordered_dedup(t.documents.where("n_chars < 2000"))
 
 
 @query("""WITH a AS (SELECT o_custkey, array_agg(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1)

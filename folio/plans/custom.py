@@ -31,3 +31,11 @@ def txt_long_line_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"txt_long_line_windows_all": txt_long_line_windows_all}
+
+
+def set_ordered_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered de-dup of the words of every text that isn't null."""
+    return C.ordered_dedup(C.Tables(spark, sf_dir).documents.where("text is not null"))
+
+
+QUERIES |= {"set_ordered_dedup_all": set_ordered_dedup_all}

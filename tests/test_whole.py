@@ -31,3 +31,8 @@ def test_long_line_windows(spark):
     assert sorted(map(tuple, got)) == want
     got = custom.txt_long_line_windows_all(spark, DIR).collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, s, min(s + 200, len(r.text)), r.text[s : s + 200]) for r in table("documents").itertuples() for s in range(0, len(r.text), 120))
+
+
+def test_ordered_dedup(spark):
+    got = custom.set_ordered_dedup_all(spark, DIR).collect()
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, " ".join(dict.fromkeys(r.text.split(" ")))) for r in table("documents").itertuples())
