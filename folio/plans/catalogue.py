@@ -661,11 +661,11 @@ d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)
 """
 
 
-def nearest(t: Tables, k: int) -> DataFrame:
-    """The k nearest by cosine of a stated query set, in a total order; the query side is a fixed share of the table and is
+def nearest(t: Tables, k: int, every: int = 50) -> DataFrame:
+    """The k nearest by cosine of a stated query set (ids divisible by `every`), in a total order; the query side is a fixed share of the table and is
     only broadcast while it is small."""
     e = t.embeddings
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
+    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
     pairs = e.join(q, F.col("vec_id") != F.col("query_id"))
     sims = pairs.select("query_id", F.col("vec_id").alias("id"), "label", "ql", F.round(R.cosine(F.col("qe"), F.col("embedding")), 9).alias("sim")).where("sim > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
@@ -684,11 +684,11 @@ f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, min(l * 1000 + rank)
 """
 
 
-def fused(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+def fused(t: Tables, every: int = 50) -> DataFrame:
+    q = t.embeddings.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"))
     near = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 15, F.col("query_id") + 15)).alias("id")).where("id <> query_id").join(t.embeddings.select(F.col("vec_id").alias("id")), "id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id")))
-    return R.reciprocal_rank_fusion([nearest(t, 20), near], ["query_id"])
+    return R.reciprocal_rank_fusion([nearest(t, 20, every), near], ["query_id"])
 
 
 @query(FUSE + "SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS position FROM f")
@@ -708,13 +708,13 @@ e AS (SELECT query_id, CAST(hits AS DOUBLE) / n AS recall, coalesce(1.0 / first,
 """
 
 
-def metrics(t: Tables) -> DataFrame:
+def metrics(t: Tables, every: int = 50) -> DataFrame:
     e = t.embeddings
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     sizes = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n"))
     relevant = q.join(sizes, "ql").where("n > 0").select("query_id", "n")
     hit = F.col("label") == F.col("ql")
-    found = nearest(t, 10).groupBy("query_id").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))).alias("dcg"))
+    found = nearest(t, 10, every).groupBy("query_id").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     rows = relevant.join(found, "query_id", "left")
     return rows.select("query_id", (F.coalesce("hits", F.lit(0)).cast("double") / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))

@@ -39,3 +39,30 @@ def set_ordered_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"set_ordered_dedup_all": set_ordered_dedup_all}
+
+
+#: The query set of searches: ids divisible by this.
+EVERY = 20
+
+
+def vec_cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.nearest(C.Tables(spark, sf_dir), 10, EVERY).select("query_id", "id", "rank", "sim")
+
+
+def hyb_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.fused(C.Tables(spark, sf_dir), EVERY).select("query_id", "id", F.round("score", 9).alias("score"), "position")
+
+
+def hyb_collapse_docs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.fused(C.Tables(spark, sf_dir), EVERY).groupBy("query_id", (F.col("id") % 100).alias("doc")).agg(F.min("position").alias("position"))
+
+
+def ev_recall_mrr_ndcg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.metrics(C.Tables(spark, sf_dir), EVERY).select("query_id", *(F.round(c, 9).alias(c) for c in ("recall", "rr", "ndcg")))
+
+
+def ev_hardest10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.metrics(C.Tables(spark, sf_dir), EVERY).select("query_id", F.round("rr", 9).alias("rr")).orderBy("rr", "query_id").limit(10)
+
+
+QUERIES |= {f.__name__: f for f in (vec_cosine_topk_all, hyb_rrf_all, hyb_collapse_docs_all, ev_recall_mrr_ndcg_all, ev_hardest10_all)}

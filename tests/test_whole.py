@@ -36,3 +36,8 @@ def test_long_line_windows(spark):
 def test_ordered_dedup(spark):
     got = custom.set_ordered_dedup_all(spark, DIR).collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, " ".join(dict.fromkeys(r.text.split(" ")))) for r in table("documents").itertuples())
+
+
+def test_query_sets(spark):
+    for name in ("vec_cosine_topk", "hyb_rrf", "hyb_collapse_docs", "ev_recall_mrr_ndcg", "ev_hardest10"):
+        same(spark, name, "vec_id % 50 = 0", "vec_id % 20 = 0")
