@@ -562,14 +562,19 @@ def rcl_review_queue(t):
     return R.paged(rows, [F.col("o_orderdate"), F.col("o_orderkey")], 50, 10).select("o_orderkey", "failing")
 
 
-@query(STATUS + "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS failing FROM ch WHERE status = 'fail' AND l_linenumber <= 3 GROUP BY 1")
-def rcl_failing_checks(t):
+def failing_checks(t: Tables, last: int | None = None) -> DataFrame:
+    """The failing checks of line_items of each order; with `last`, only those of lines up to it."""
     path = F.concat(F.lit("line_items["), F.col("l_linenumber").cast("string"), F.lit("].total"))
     rows = checks(t).withColumn("path", path).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "status", "path"))).alias("checks"))
-    bad = F.filter("checks", lambda c: (c["status"] == "fail") & (M.field_of(c["path"]) == "line_items") & (c["l_linenumber"] <= 3))
+    bad = F.filter("checks", lambda c: (c["status"] == "fail") & (M.field_of(c["path"]) == "line_items") & (F.lit(True) if last is None else c["l_linenumber"] <= last))
     return rows.where(F.size(bad) > 0).select("l_orderkey", F.array_join(F.transform(bad, lambda c: c["l_linenumber"].cast("string")), ",").alias("failing"))
 
 
+@query(STATUS + "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS failing FROM ch WHERE status = 'fail' AND l_linenumber <= 3 GROUP BY 1")
+def rcl_failing_checks(t):
+    return failing_checks(t, last=3)
+
+
 # text
 
 

@@ -41,3 +41,16 @@ def test_ordered_dedup(spark):
 def test_query_sets(spark):
     for name in ("vec_cosine_topk", "hyb_rrf", "hyb_collapse_docs", "ev_recall_mrr_ndcg", "ev_hardest10"):
         same(spark, name, "vec_id % 50 = 0", "vec_id % 20 = 0")
+
+
+def test_failing_checks(spark):
+    same(spark, "rcl_failing_checks", " AND l_linenumber <= 3", "")
+
+
+def test_positional_zip(spark):
+    want, uneven = [], 0
+    for key, own in table("lineitem").sort_values(["l_linenumber", "l_partkey", "l_quantity"]).groupby("l_orderkey"):
+        q, p = list(own.l_quantity), [r.l_partkey for r in own.itertuples() if r.l_linenumber % 6 and round(r.l_tax, 6) <= 0.07]
+        uneven += len(q) != len(p)
+        want += [(key, i + 1, a, b) for i, (a, b) in enumerate(zip(q, p, strict=False))]
+    assert uneven and sorted(map(tuple, custom.jn_positional_zip_all(spark, DIR).collect())) == sorted(want)
