@@ -5,7 +5,9 @@ hashed into DIM buckets, weighted by TF-IDF and normalised. Each language has K
 a sample of at most SAMPLE labelled documents (those with the smallest hash of their id, so the sample doesn't depend on
 partitioning); centroids that mostly draw texts labelled otherwise are dropped. A text takes the language of the centroid of largest cosine; that cosine is the score. Texts farther than
 the rejection distance are flagged `rejected`: their cosine is under REJECT times the PERCENTILE-th percentile of the
-training cosines. Texts without a letter are `und` and rejected.
+training cosines, so that the limit lies above the cosines of other languages and of random letters and under those of
+texts of the learned languages. A text of fewer than FULL distinct trigrams can't have a large cosine; its limit is less by
+the root of their share. Texts without a letter are `und` and rejected.
 
 Cases: null text or one without letters: und, score 0, rejected; ties go to the language first in alphabetical order, then
 to its first centroid; repeated rows give repeated rows; no labelled document at all: every text is und and rejected; an
@@ -24,7 +26,8 @@ from folio.llm.common import chunks, code_points, letters, remainder, table, tid
 DIM = 4096
 SAMPLE = 1500
 K = 4
-REJECT, PERCENTILE = 0.1, 1.0
+REJECT, PERCENTILE = 0.3, 1.0
+FULL = 100
 
 
 def count_grams(texts: list[str], dim: int = DIM):
@@ -67,7 +70,8 @@ class LanguageModel:
             cos = self.centroids @ _weigh(counts, self.idf)
             best = int(cos.argmax())
             score = float(min(1.0, max(0.0, cos[best])))
-            yield self.languages[best], score, score < self.threshold
+            limit = self.threshold * min(1.0, (np.count_nonzero(counts) / FULL) ** 0.5)
+            yield self.languages[best], score, score < limit
 
 
 def kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

@@ -303,6 +303,27 @@ def test_langid(spark):
     assert {r["lang_pred"] for r in langid.predict(documents(spark, TEXTS), none).collect()} == {"und"}
 
 
+def test_langid_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(langid.learn_from(docs))
+    rng = np.random.default_rng(5)
+    drawn = lambda n, of: "".join(of[i] for i in rng.integers(len(of), size=n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        " ".join(drawn(6, letters) for _ in range(100)),
+        drawn(600, letters + letters.upper() + "0123456789+/"),
+        drawn(600, "0123456789abcdef"),
+    ]
+    short = [(100, "Avec."), (101, "Erö."), (102, "Re."), (103, "The.")]
+    got = {r["doc_id"]: r["rejected"] for r in langid.predict(documents(spark, [*enumerate(foreign), *short]), model).collect()}
+    assert got == {i: i < 100 for i in got} and len(got) == len(foreign) + len(short)
+    held_out = docs.join(langid.learn_from(docs), "doc_id", "left_anti")
+    assert held_out.count() > 100 and langid.predict(held_out, model).where("rejected").count() == 0
+
+
 def test_token_counts(spark, codec):
     lib, path = by_library(codec), shared_dir(spark, "tokens-test")
     tokencount.write(documents(spark, TEXTS), path, *bpe.vocabulary(), records=3)
