@@ -96,8 +96,27 @@ def test_neighbours_repeated_rows(spark):
     s[1] = max([s[1], *(np.array(x) @ v[0] for _, x in many)])
     want = [i for i in np.lexsort((np.arange(600), -s)) if i != 0][:20]
     assert len(set(found.vec_id)) == 20 and len(set(want) & set(found.vec_id)) / 20 >= 0.9
-    ids = np.array([4, 4, 4, 5, 6])
-    assert [x[1].tolist() for x in neighbours.best(np.array([9]), np.ones((1, 1)), ids, np.array([[5.0], [4.0], [3.0], [2.0], [1.0]]), 3)] == [[4, 5, 6]]
+    ids, v = np.array([4, 4, 4, 5, 6]), np.array([[5.0], [4.0], [3.0], [2.0], [1.0]])
+    assert neighbours.best(np.ones(1), ids, v, 3)[0].tolist() == [4, 5, 6] and neighbours.best(np.ones(1), ids, v, 3, 2.0)[0].tolist() == [4, 5]
+
+
+def test_neighbours_blocks_and_bound(spark):
+    # many tasks (so that the bound of a first pass is used), several query blocks, vectors of unequal length and dimension
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(700, 16)) * rng.uniform(0.5, 2, size=(700, 1))
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000 + i, [1.0, float(i)]) for i in range(30)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(20)
+    asked = e.where("vec_id % 20 = 0")
+    few, many = (neighbours.search(x, asked, block=b, part=50).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True) for x, b in ((e.coalesce(8), 1000), (e, 30)))
+    hits = []
+    for got in (few, many):
+        for q in range(0, 700, 20):
+            s = v @ v[q]
+            want = [i for i in np.lexsort((np.arange(700), -s)) if i != q][:20]
+            hits.append(len(set(want) & set(got[got.query_id == q].vec_id)) / 20)
+        small = got[got.query_id >= 1000]
+        assert set(small.vec_id) <= set(range(1000, 1030)) and (small.groupby("query_id").vec_id.nunique() == 20).all()
+    assert np.mean(hits) >= 0.9
 
 
 def test_near_by_recall(spark):
