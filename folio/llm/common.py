@@ -14,15 +14,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-#: Rows of a one- or two-column id table that may be broadcast (about 100 MB as a hashed relation); larger ones are shuffled.
-BROADCAST_ROWS = 1_500_000
+#: Bytes that a broadcast table may take, by its counted rows and its columns' widths; larger ones are shuffled.
+BROADCAST_BYTES = 48 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A new folder under the cluster's spark.checkpoint.dir. A folder of our own is only made on a local master."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_folio_shared", None) or tempfile.mkdtemp(prefix="folio-")
         spark._folio_shared = base
     return f"{base.rstrip('/')}/folio/{name}-{uuid.uuid4().hex}"
@@ -67,9 +70,11 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows fit the limit, else as it is (a shuffled join). A row of a hashed relation
+    takes about 40 bytes and its columns; texts count as 64 bytes."""
+    width = 40 + sum(64 if isinstance(f.dataType, (StringType, BinaryType)) else 16 for f in df.schema.fields)
+    return F.broadcast(df) if rows * width <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: documents whose sets of word 4-grams have a Jaccard similarity of at least 85 %, as components.
+"""N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of a given percentage, as components.
 
 Size-aware: a set of at most `boundary` shingles posts a signature for each of its fixed-size subsets (two such sets are
 linked only if they share a subset of the size that their sizes ask for); a larger set posts its rarest shingles, those of
-the prefix that a linked set must meet, and their inverted lists are scanned. The boundary minimises the number of postings
-by the measured sizes. Rarity comes from a count sketch of fixed size over all shingles of all documents; it only orders
+the prefix that a linked set must meet, and their inverted lists are scanned. The boundary minimises the cost by the measured
+sizes and list lengths. Rarity comes from a count sketch of fixed size over all shingles of all documents; it only orders
 shingles, so its collisions cost time and never links. Every candidate pair is verified on the whole sets.
 
 Skew: equal sets are one class before anything is paired. Lists that hold the same sets are one list. A list of at most
@@ -11,19 +11,23 @@ LIGHT sets gives its pairs. A longer list is never paired: its sets are verified
 the first pivot's component need nothing more, since all their links are inside it; each of the others is compared with
 the whole list, block by block within tasks, and only links that join components come out. So no link between components
 is lost, and work beyond the pivots is proportional to those others. Components are found by alternating large-star and
-small-star steps on written tables.
+small-star steps on written tables, each deleted once it is replaced.
 
-Shingles and sets are told apart by 64-bit hashes; when two sets are compared, their shingles by 40 bits of them (two sets of
-300 shingles agree in one by chance once in ten million comparisons, which matters only to a pair right at the limit).
+Shingles are told apart by 64-bit hashes. Sets are named by 64 bits of a 128-bit hash; where the other 64 bits show that
+one name stands for several sets, these sets get further names, so strangers are never merged. When two sets are compared, their
+shingles are told apart by 48 bits (two sets of 300 shingles agree in one by chance once in three thousand million
+comparisons, which matters only to a pair right at the limit).
 
-Cases: null or wordless text has no shingles, n_shingles 0 and its own id as component_id; fewer than four words are one
-shingle; equal sets are linked; the component's name is its smallest doc_id; repeated rows give repeated rows; an empty
-table gives an empty table; only doc_id and text are read.
+Cases: null or wordless text has no shingles, n_shingles 0 and its own id as component_id; fewer words than an n-gram has are
+one shingle; equal sets are linked; the component's name is its smallest doc_id; a row without a doc_id takes part and links
+others, and gets its component's name, null if no row of it has a doc_id; one doc_id with several texts stands for each of
+them; repeated rows give repeated rows; an empty table gives an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -34,11 +38,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import arrow_rows, chunks, forget, small, table, tidy, written
 
-WORDS = 4
-#: Linked if 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Counters of the sketch, and parts in which it is summed.
-SKETCH, PARTS = 1 << 22, 16
+#: Counters of the sketch, parts in which it is summed, and how many tasks' parts one task adds up at a time.
+SKETCH, PARTS, FAN = 1 << 22, 16, 64
 LIGHT = 64
 PIVOTS = 4
 BLOCK = 1000
@@ -50,6 +51,43 @@ BASE = 0xD1342543DE82EF95
 _powers: list[np.ndarray] = []
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of so many words; sets are linked if 100 * intersection >= percent * union."""
+
+    words: int
+    percent: int
+
+    def linked(self, shared, a, b):
+        return 100 * shared >= self.percent * (a + b - shared)
+
+    def needed(self, s: int, t: int) -> int:
+        """Shingles that linked sets of these sizes share, at least."""
+        return -(-self.percent * (s + t) // (100 + self.percent))
+
+    def partners(self, s: int) -> range:
+        """Sizes of sets that a set of s can be linked with."""
+        return range(-(-self.percent * s // 100), 100 * s // self.percent + 1)
+
+    def prefix(self, s: int) -> int:
+        return s - -(-self.percent * s // 100) + 1
+
+    def subset_sizes(self, s: int, boundary: int) -> list[int]:
+        return sorted({self.needed(s, t) for t in self.partners(s) if t <= boundary})
+
+    def subsets(self, s: int, boundary: int) -> int:
+        """How many subsets a set of s shingles posts."""
+        return sum(comb(s, c) for c in self.subset_sizes(s, boundary)) if s <= boundary else 0
+
+    def scanned(self, s: int, boundary: int) -> int:
+        """How many prefix shingles a set of s shingles posts."""
+        return self.prefix(s) if max(self.partners(s)) > boundary else 0
+
+
+#: The rule of the join's query, and that of near-duplicate stages.
+JOIN, NEAR = Rule(4, 85), Rule(5, 80)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,10 +110,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
-STEPS = mix(np.arange(11, 11 + WORDS, dtype=np.uint64) * MULT) | np.uint64(1)
+STEPS = mix(np.arange(11, 43, dtype=np.uint64) * MULT) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str]):
+def shingle_sets(texts: list[str], words: int):
     """The sorted distinct shingle hashes of each text."""
     for start, end in chunks(texts, 1_000_000):
         raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts[start:end]]
@@ -89,15 +127,15 @@ def shingle_sets(texts: list[str]):
         np.cumsum(BYTES[a] * up[: len(a)], out=total[1:])
         word = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * MULT)
         n = len(word)
-        grams = np.zeros(max(n - WORDS + 1, 0), np.uint64)
-        for i in range(WORDS):
+        grams = np.zeros(max(n - words + 1, 0), np.uint64)
+        for i in range(words):
             grams += word[i : i + len(grams)] * STEPS[i]
         grams = mix(grams)
         at = 0
         for stop in np.searchsorted(s, ends).tolist():
             k = stop - at
-            if k >= WORDS:
-                yield np.unique(grams[at : stop - WORDS + 1])
+            if k >= words:
+                yield np.unique(grams[at : stop - words + 1])
             elif k:
                 with np.errstate(over="ignore"):
                     yield mix(np.array([(word[at:stop] * STEPS[:k]).sum() + np.uint64(k)], np.uint64))
@@ -106,49 +144,34 @@ def shingle_sets(texts: list[str]):
             at = stop
 
 
-def needed(s: int, t: int) -> int:
-    """Shingles that linked sets of these sizes share, at least."""
-    return -(-PERCENT * (s + t) // (100 + PERCENT))
-
-
-def partners(s: int) -> range:
-    """Sizes of sets that a set of s can be linked with."""
-    return range(-(-PERCENT * s // 100), 100 * s // PERCENT + 1)
-
-
-def prefix(s: int) -> int:
-    return s - -(-PERCENT * s // 100) + 1
-
-
-def subset_sizes(s: int, boundary: int) -> list[int]:
-    return sorted({needed(s, t) for t in partners(s) if t <= boundary})
-
-
-def postings_of(s: int, boundary: int) -> int:
-    """How many postings a set of s shingles makes."""
-    few = sum(comb(s, c) for c in subset_sizes(s, boundary)) if s <= boundary else 0
-    return few + (prefix(s) if max(partners(s)) > boundary else 0)
+def choose_boundary(histogram: dict[int, int], rule: Rule, length: float = 1.0) -> int:
+    """The size up to which sets enumerate subsets, by the cost over the measured sizes. A posted subset costs one step (its
+    list seldom holds another set); a posted shingle costs one, and its list's measured length to scan."""
+    cost = lambda b: sum(n * (rule.subsets(s, b) + rule.scanned(s, b) * (1 + length)) for s, n in histogram.items())
+    return min(range(SMALLEST + 1), key=lambda b: (cost(b), b))
 
 
-def choose_boundary(histogram: dict[int, int]) -> int:
-    """The size up to which sets enumerate subsets, by the cost over the measured sizes. Scanning costs a posting, and on
-    average at least one more step of its list."""
-    cost = lambda b: sum(n * (postings_of(s, b) + (prefix(s) if max(partners(s)) > b else 0)) for s, n in histogram.items())
-    return min(range(SMALLEST + 1), key=lambda b: (cost(b), b))
+def list_length(counts: np.ndarray, rule: Rule) -> float:
+    """The mean length of the lists of prefix shingles: that of the rarest share of all occurrences that prefixes take."""
+    n = np.bincount(np.minimum(counts, 1 << 16).astype(np.int64))
+    occurrences = n * np.arange(len(n))
+    share = occurrences.sum() * (100 - rule.percent) / 100
+    rare = np.cumsum(occurrences) <= max(share, occurrences[:2].sum())
+    return float((occurrences * np.arange(len(n)))[rare].sum() / max(1, occurrences[rare].sum()))
 
 
-def postings(elements: np.ndarray, counts: np.ndarray, boundary: int) -> np.ndarray:
+def postings(elements: np.ndarray, counts: np.ndarray, boundary: int, rule: Rule) -> np.ndarray:
     """What a set posts: subset signatures, prefix shingles, or both near the boundary."""
     n, out = len(elements), []
     if n <= boundary:
         own = mix(elements ^ MULT)
         with np.errstate(over="ignore"):
-            for c in subset_sizes(n, boundary):
+            for c in rule.subset_sizes(n, boundary):
                 whole = own.sum()
                 sums = [whole - own[list(gone)].sum() for gone in combinations(range(n), n - c)]
                 out.append(mix(np.array(sums, np.uint64) + np.uint64(c) * MULT))
-    if n and max(partners(n)) > boundary:
-        rare = np.argsort(counts[elements & np.uint64(len(counts) - 1)], kind="stable")[: prefix(n)]
+    if n and max(rule.partners(n)) > boundary:
+        rare = np.argsort(counts[elements & np.uint64(len(counts) - 1)], kind="stable")[: rule.prefix(n)]
         out.append(elements[rare])
     return np.unique(np.concatenate(out)) if out else elements
 
@@ -157,84 +180,110 @@ def _texts(batch) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.names.index("text")).to_pylist()]
 
 
-def sketch(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+def sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, dict[int, int]]:
     """Counts of all shingles by their low bits, and how many sets are of each size up to SMALLEST (twice that for
-    partners). Each task sends its counters once, in 16 bits (a task's larger counts stay at their limit: enough to come
-    last in the order); they are summed in PARTS parts."""
+    partners). Each task sends its counters once, in 8 bits (a task's larger counts stay at their limit: enough to come
+    last in the order); they are summed in PARTS parts, FAN tasks at a time, so no task holds more than FAN counters of a
+    part, however many tasks there are."""
     size = SKETCH // PARTS
 
     def count(batches):
-        total, sizes = np.zeros(SKETCH, np.int64), np.zeros(size, np.int64)
+        total, sizes = np.zeros(SKETCH, np.int32), np.zeros(2 * SMALLEST, np.int64)
         for batch in batches:
-            for s in shingle_sets(_texts(batch)):
-                sizes[min(len(s), size - 1)] += 1
+            for s in shingle_sets(_texts(batch), rule.words):
+                if len(s) < 2 * SMALLEST:
+                    sizes[len(s)] += 1
                 np.add.at(total, s & np.uint64(SKETCH - 1), 1)
-        parts = [*total.reshape(PARTS, size), sizes]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([np.minimum(p, 0xFFFF).astype("<u2").tobytes() for p in parts], pa.binary())], ["part", "n"])
+        parts = [np.minimum(p, 0xFF).astype("<u1").tobytes() for p in total.reshape(PARTS, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([1] * PARTS + [8], pa.int32()), pa.array([*parts, sizes.astype("<u8").tobytes()], pa.binary())], ["part", "width", "n"])
         tidy()
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for x in group.column("n"):
-            total += np.frombuffer(x.as_py(), "<u2")
-        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
-
-    got = {r["part"]: np.frombuffer(r["n"], "<u4") for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()}
+        part = group.column("part")[0].as_py()
+        total = np.zeros(size if part < PARTS else 2 * SMALLEST, np.uint64)
+        for width, x in zip(group.column("width"), group.column("n"), strict=True):
+            total += np.frombuffer(x.as_py(), f"<u{width.as_py()}")
+        width = 4 if part < PARTS else 8
+        return pa.table({"group": pa.array([group.column("group")[0].as_py() // FAN], pa.int64()), "part": pa.array([part], pa.int32()), "width": pa.array([width], pa.int32()), "n": pa.array([np.minimum(total, (1 << 8 * width) - 1).astype(f"<u{width}").tobytes()], pa.binary())})
+
+    texts = docs.select(F.col("text").cast("string"))
+    tasks = texts.rdd.getNumPartitions()
+    sums = texts.mapInArrow(count, "part int, width int, n binary").select(F.floor(F.spark_partition_id() / FAN).alias("group"), "part", "width", "n")
+    while True:
+        sums = sums.groupBy("group", "part").applyInArrow(add, "group long, part int, width int, n binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    got = {r["part"]: np.frombuffer(r["n"], f"<u{r['width']}") for r in sums.collect()}
     zero = np.zeros(size, np.uint32)
     counts = np.concatenate([got.get(i, zero) for i in range(PARTS)])
     sizes = got.get(PARTS, zero)
     return counts, {i: int(sizes[i]) for i in range(1, 2 * SMALLEST) if sizes[i]}
 
 
-def identity(elements: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+def identity(elements: np.ndarray) -> tuple[int, int]:
+    """Two halves of a set's 128-bit hash."""
+    digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def posted(docs: DataFrame, counts: np.ndarray, boundary: int) -> DataFrame:
-    """doc_id, n, rid (the set's id, null if empty), posts of each document."""
+def posted(docs: DataFrame, counts: np.ndarray, boundary: int, rule: Rule) -> DataFrame:
+    """doc_id, n, rid, chk (halves of the set's hash, null if empty), posts of each document."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            n, rid, posts = [], [], []
-            for s in shingle_sets(_texts(batch)):
+            n, rid, chk, posts = [], [], [], []
+            for s in shingle_sets(_texts(batch), rule.words):
                 n.append(len(s))
-                rid.append(identity(s) if len(s) else None)
-                posts.append(postings(s, held.value, boundary).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(posts, pa.list_(pa.int64()))], ["doc_id", "n", "rid", "posts"])
+                a, b = identity(s) if len(s) else (None, None)
+                rid.append(a)
+                chk.append(b)
+                posts.append(postings(s, held.value, boundary, rule).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(chk, pa.int64()), pa.array(posts, pa.list_(pa.int64()))], ["doc_id", "n", "rid", "chk", "posts"])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, posts array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, chk long, posts array<long>")
 
 
 def packed(elements: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, 5 bytes each."""
-    return np.ascontiguousarray((elements >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The upper 48 bits of each hash, 6 bytes each."""
+    return np.ascontiguousarray((elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """rid, elements (packed hashes) of documents."""
+def named_apart(rid: int, chk: int) -> int:
+    """A further name for one of several sets that share the name rid."""
+    return int.from_bytes(hashlib.blake2b(f"{rid} {chk}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def sets_of(docs: DataFrame, rule: Rule, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """rid, elements (packed hashes) of documents, each set once a task."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            sets = [s for s in shingle_sets(_texts(batch)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["rid", "elements"])
+            rids, sets = [], []
+            for s in shingle_sets(_texts(batch), rule.words):
+                if len(s):
+                    rid, chk = identity(s)
+                    rid = named_apart(rid, chk) if rid in clashes else rid
+                    if rid not in seen:
+                        seen.add(rid)
+                        rids.append(rid)
+                        sets.append(packed(s))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(sets, pa.binary())], ["rid", "elements"])
         tidy()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "rid long, elements binary")
 
 
-def linked(shared: int, a: int, b: int) -> bool:
-    return 100 * shared >= PERCENT * (a + b - shared)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs a, b whose sets are linked."""
 
     def run(batches):
@@ -243,7 +292,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y, ex, ey in zip(*(batch.column(i) for i in range(4)), strict=True):
                 p, q = unpacked(ex.as_py()), unpacked(ey.as_py())
                 both = np.sort(np.concatenate((p, q)))
-                if linked(int((both[1:] == both[:-1]).sum()), len(p), len(q)):
+                if rule.linked(int((both[1:] == both[:-1]).sum()), len(p), len(q)):
                     a.append(x.as_py())
                     b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -253,7 +302,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return small(pairs, pairs.count()).join(side("a", "ea"), "a").join(side("b", "eb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
-def joining(group: pa.Table) -> pa.Table:
+def joining(group: pa.Table, rule: Rule) -> pa.Table:
     """Links of a block that join components: each of the block's `asking` sets against all its sets. Columns asking, rid,
     comp, elements."""
     rid, comp, asking = (group.column(c).to_numpy() for c in ("rid", "comp", "asking"))
@@ -276,7 +325,7 @@ def joining(group: pa.Table) -> pa.Table:
         flags[own] = 1
         shared = np.add.reduceat(flags[codes], at[:-1])
         flags[own] = 0
-        for j in np.flatnonzero(100 * shared >= PERCENT * (lens + lens[i] - shared)).tolist():
+        for j in np.flatnonzero(rule.linked(shared, lens, lens[i])).tolist():
             x, y = root(int(comp[i])), root(int(comp[j]))
             if x != y:
                 parent[x] = y
@@ -299,11 +348,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours are linked to the smallest of these
-        large = written(large, "large")
+        before, large = edges, written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u")
         edges = rest.select(F.col("m").alias("v"), F.col("v").alias("u")).unionAll(rest.select(F.col("m").alias("v"), "u")).where("u <> v").distinct()
         edges = written(edges, "edges")
+        forget(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -311,41 +361,50 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = JOIN) -> DataFrame:
     """doc_id, n_shingles, component_id of each document. All Python runs before this returns, on small Arrow batches."""
     with arrow_rows(docs.sparkSession, 1000):
-        return _join(docs)
-
-
-def _join(docs: DataFrame) -> DataFrame:
-    counts, histogram = sketch(docs)
-    first = written(posted(docs, counts, choose_boundary(histogram)), "posted")
-    all_docs = written(first.select("doc_id", "n", "rid"), "documents")
+        return _join(docs, rule)
+
+
+def _join(docs: DataFrame, rule: Rule) -> DataFrame:
+    counts, histogram = sketch(docs, rule)
+    first = written(posted(docs, counts, choose_boundary(histogram, rule, list_length(counts, rule)), rule), "posted")
+    # names that stand for several sets: fewer than one is expected in a thousand million sets
+    clashes = frozenset(r["rid"] for r in first.where("n > 0").groupBy("rid").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).where("lo <> hi").select("rid").collect())
+    rows = first
+    if clashes:
+        again = docs.sparkSession.createDataFrame([(r["rid"], r["chk"], named_apart(r["rid"], r["chk"])) for r in first.where(F.col("rid").isin(list(clashes))).select("rid", "chk").distinct().collect()], "rid long, chk long, other long")
+        rows = first.join(F.broadcast(again), ["rid", "chk"], "left").withColumn("rid", F.coalesce("other", "rid"))
+    all_docs = written(rows.select("doc_id", "n", "rid"), "documents")
     classes = written(all_docs.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id")), "classes")
     # one document posts for each class of equal sets; the others' postings are left out by a join on their ids alone
-    copies = written(all_docs.where("n > 0").join(classes.withColumnRenamed("doc_id", "one"), "rid").where("doc_id <> one or doc_id is null").select(F.col("doc_id").alias("d"), F.col("rid").alias("r")), "copies")
-    unique = first.where("n > 0").join(small(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left_anti")
+    copies = written(all_docs.where("n > 0").join(classes.withColumnRenamed("doc_id", "one"), "rid").where("not doc_id <=> one").select(F.col("doc_id").alias("d"), F.col("rid").alias("r")).distinct(), "copies")
+    unique = rows.where("n > 0").join(small(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left_anti")
     posts = unique.select(F.explode("posts").alias("e"), "rid", "n")
     lists = written(posts.groupBy("e").agg(F.count("*").alias("size")).where("size > 1"), "lists")
     members = written(posts.join(small(lists, lists.count()), "e"), "members")
-    forget(first)
+    forget(first, copies, lists)
     pair = lambda x, y: F.struct(F.least(x["rid"], y["rid"]).alias("a"), F.greatest(x["rid"], y["rid"]).alias("b"))
-    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * PERCENT
-    light = members.where(F.col("size") <= LIGHT).groupBy("e").agg(F.array_sort(F.collect_list(F.struct("rid", "n"))).alias("own")).select("own").distinct()
+    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * rule.percent
+    light = members.where(F.col("size") <= LIGHT).groupBy("e").agg(F.array_sort(F.collect_set(F.struct("rid", "n"))).alias("own")).select("own").distinct()
     inner = lambda x, i: F.transform(F.filter(F.slice("own", i + 2, LIGHT), lambda y: fits(x, y)), lambda y: pair(x, y))
     light = light.select(F.explode(F.flatten(F.transform("own", inner))).alias("p")).select("p.a", "p.b")
-    heavy = members.where(F.col("size") > LIGHT)
+    heavy = members.where(F.col("size") > LIGHT).select("e", "rid").distinct()
     same = heavy.groupBy("e").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"), *(F.min_by("rid", F.xxhash64("rid", F.lit(i + 2))).alias(f"pivot{i}") for i in range(PIVOTS)))
     pivots = [f"pivot{i}" for i in range(PIVOTS)]
-    same = same.groupBy("size", "x", "y").agg(F.min("e").alias("e"), *(F.min(p).alias(p) for p in pivots)).select("e", *pivots)
+    same = same.groupBy("size", "x", "y").agg(F.min("e").alias("e"), *(F.min(p).alias(p) for p in pivots)).select("e", "size", *pivots)
     heavy = written(heavy.join(same, "e"), "heavy")
     star = heavy.select(F.explode(F.array(*pivots)).alias("p"), "rid").where("p <> rid").select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b"))
     pairs = written(light.unionAll(star).distinct(), "pairs")
-    # whole sets, only of those that are compared
+    # whole sets, only of those that are compared; a class without any doc_id is found among all rows without one
     wanted = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).unionAll(heavy.select("rid")).distinct()
-    ids = written(classes.join(wanted, "rid", "left_semi").select("doc_id"), "wanted")
-    sets = written(sets_of(docs.join(small(ids, ids.count()), "doc_id", "left_semi")), "sets")
-    edges = written(verified(pairs, sets), "links")
+    ids = written(classes.join(wanted, "rid", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = written(sets_of(texts, rule, clashes), "sets")
+    told = sets.agg(F.count("*").alias("n"), F.count_distinct("rid").alias("own")).collect()[0]
+    once = sets if told["n"] == told["own"] else sets.dropDuplicates(["rid"])
+    edges = written(verified(pairs, once, rule), "links")
     roots = components(edges)
     if heavy.limit(1).count():
         root = F.coalesce("root", "rid")
@@ -353,26 +412,29 @@ def _join(docs: DataFrame) -> DataFrame:
         main = placed.where("rid = pivot0").select("e", F.col("comp").alias("main"))
         placed = written(placed.join(main, "e").withColumn("asking", (F.col("comp") != F.col("main")).cast("int")), "placed")
         asked = placed.where("asking = 1").groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("sheets"))
-        placed = placed.join(asked, "e").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        both = placed.join(asked, "e").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         slot = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asking = placed.where("asking = 1").select("e", "rid", "comp", "asking", slot("sheets").alias("sheet"), every("blocks").alias("block"))
-        others = placed.select("e", "rid", "comp", F.lit(0).alias("asking"), every("sheets").alias("sheet"), slot("blocks").alias("block"))
+        asking = both.where("asking = 1").select("e", "rid", "comp", "asking", slot("sheets").alias("sheet"), every("blocks").alias("block"))
+        others = both.select("e", "rid", "comp", F.lit(0).alias("asking"), every("sheets").alias("sheet"), slot("blocks").alias("block"))
         cells = written(asking.unionByName(others), "cells")
-        cells = small(cells, cells.count()).join(sets, "rid")
-        more = cells.groupBy("e", "sheet", "block").applyInArrow(joining, "a long, b long")
+        more = small(cells, cells.count()).join(once, "rid").groupBy("e", "sheet", "block").applyInArrow(lambda group: joining(group, rule), "a long, b long")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+        forget(placed, cells)
+    forget(members, heavy, pairs, ids, sets, edges)
     named = classes.select("rid", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"), "doc_id")
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "root").select("rid", "component_id")
     return all_docs.select("doc_id", "n", "rid").join(named, "rid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
     """docs, with their own columns, without documents whose component has a smaller doc_id. Rows of one doc_id are one
-    document: they stay or go together."""
-    gone = written(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    document: they stay or go together. So are rows without a doc_id whose texts are equal; they come after all doc_ids (which
+    must be less than 2 ** 62), so they go if a document with a doc_id is in their component."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << 61) - 1) + (1 << 62))
+    gone = written(join(docs.select(own.alias("doc_id"), "text"), rule).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(small(gone, gone.count()), own == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,21 +131,23 @@ def test_near_by_recall(spark):
     assert np.mean(found) >= 0.9
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def by_force(texts):
-    sets = [shingles(t) for _, t in texts]
+def by_force(texts, n=4, percent=85):
+    """doc_id, set size, component of each row, sorted; the names of components leave out null doc_ids."""
+    sets = [shingles(t, n) for _, t in texts]
     comp = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             shared = len(sets[i] & sets[j])
-            if shared and 100 * shared >= 85 * len(sets[i] | sets[j]):
+            if shared and 100 * shared >= percent * len(sets[i] | sets[j]):
                 a, b = comp[i], comp[j]
                 comp = [b if c == a else c for c in comp]
-    return sorted((i, len(s), min(x for (x, _), d in zip(texts, comp, strict=True) if d == c)) for (i, _), s, c in zip(texts, sets, comp, strict=True))
+    name = lambda c: min((x for (x, _), d in zip(texts, comp, strict=True) if d == c and x is not None), default=None)
+    return sorted(((i, len(s), name(c)) for (i, _), s, c in zip(texts, sets, comp, strict=True)), key=str)
 
 
 def copies(seed, n, edits):
@@ -161,15 +163,33 @@ def copies(seed, n, edits):
 
 
 def test_jaccard(spark):
-    texts = [(i, t) for i, t in TEXTS if i is not None and i != 8] + [(8, LONG)]
-    texts += [(100 + i, t) for i, t in enumerate(copies(1, 90, 5) + copies(2, 12, 2))]
+    texts = TEXTS + [(100 + i, t) for i, t in enumerate(copies(1, 90, 5) + copies(2, 12, 2))]
     texts += [(300 + i, " ".join(WORDS[: 8 + i % 4])) for i in range(6)] + [(400 + i, f"a b c d e f g h i j{i}") for i in range(3)]
-    got = sorted(map(tuple, jaccard.join(documents(spark, texts)).collect()))
-    assert got == by_force(texts)
+    # a link chain whose middle has no doc_id, a component without any, one doc_id with two texts
+    chain = [f"u{k}" for k in range(80)]
+    texts += [(500, " ".join(chain)), (None, " ".join([*chain[:-5], *"vwxyz"])), (501, " ".join([*"pqrst", *chain[5:-5], *"vwxyz"]))]
+    texts += [(None, "lone " * 3 + "row"), (None, "lone " * 3 + "row"), (8, "quite another text " + " ".join(WORDS))]
+    got = sorted(map(tuple, jaccard.join(documents(spark, texts)).collect()), key=str)
+    assert got == by_force(texts) and (501, 77, 500) in got
     assert jaccard.join(documents(spark, [])).count() == 0
+    near = sorted(map(tuple, jaccard.join(documents(spark, texts), jaccard.NEAR).collect()), key=str)
+    assert near == by_force(texts, 5, 80)
     kept = jaccard.one_of_each(documents(spark, texts))
     assert kept.columns == documents(spark, []).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in by_force(texts) if i == c)
+    told = by_force(texts, 5, 80)
+    gone = {i for i, _, c in told if c != i}
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i, _ in texts if i is not None and i not in gone)
+    # rows without an id: their copies of documents go, the component without any doc_id stays
+    assert sorted(r["text"] for r in kept.where("doc_id is null").collect()) == sorted(["no id here at all", "lone lone lone row", "lone lone lone row"])
+
+
+def test_jaccard_clashing_names(spark):
+    """A name that stands for several sets is replaced by a further one for each of them."""
+    texts = [(i, " ".join(f"w{i % 6}x{k}" for k in range(30))) for i in range(9)]
+    told = [jaccard.identity(next(jaccard.shingle_sets([t], 4))) for _, t in texts]
+    sets = jaccard.sets_of(documents(spark, texts), jaccard.JOIN, frozenset([told[0][0]])).collect()
+    assert {r["rid"] for r in sets} == {jaccard.named_apart(*told[0])} | {told[i][0] for i in range(1, 6)}
+    assert jaccard.named_apart(1, 2) != jaccard.named_apart(1, 3)
 
 
 def test_jaccard_subsets():
@@ -179,11 +199,12 @@ def test_jaccard_subsets():
         a = np.unique(rng.integers(1 << 40, size=rng.integers(1, 18), dtype=np.uint64))
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.95], rng.integers(1 << 40, size=rng.integers(0, 2), dtype=np.uint64))))
         shared = len(np.intersect1d(a, b))
-        if len(b) and jaccard.linked(shared, len(a), len(b)):
-            for boundary in (0, 6, 10, 20):
-                assert len(np.intersect1d(jaccard.postings(a, zero, boundary), jaccard.postings(b, zero, boundary)))
+        for rule in (jaccard.JOIN, jaccard.NEAR):
+            if len(b) and rule.linked(shared, len(a), len(b)):
+                for boundary in (0, 6, 10, 20):
+                    assert len(np.intersect1d(jaccard.postings(a, zero, boundary, rule), jaccard.postings(b, zero, boundary, rule)))
     h = rng.integers(1 << 62, size=9, dtype=np.uint64)
-    assert (jaccard.unpacked(jaccard.packed(h)) == h >> np.uint64(24)).all()
+    assert (jaccard.unpacked(jaccard.packed(h)) == h >> np.uint64(16)).all()
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
