@@ -1,24 +1,32 @@
 """Toxicity by a learned lexicon, matched up to a misspelling.
 
-The lexicon holds whole words and word stems (prefixes) that labelled toxic texts have and clean ones don't; it is chosen
-from at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows (smallest hash of the id) by greedy cover. Its whole words form a
-trie; the Levenshtein automaton of one edit (for words of FUZZY letters or more) is intersected with that trie, and the
-result, together with the stems, becomes one deterministic table of states by letters. Texts run through that table word by
-word, all words of a batch side by side, and only words that are accepted are looked at again: a hit inside quotation
-marks, or with a reporting cue within WINDOW words before it, counts by a learned factor instead of in full.
+The lexicon holds whole words and word stems (prefixes of any length) that labelled toxic texts have and clean ones don't. It is
+learned from at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents (smallest hash of the id) and holds no other limit. A
+feature counts once for a group of copies (texts whose smallest word hash is the same), and must tell toxic texts from clean
+ones in both halves of the groups, each judged on its own, so words that only a few copies or one half have are left out; a greedy
+cover then takes features while each adds enough texts (at most 4 / GAIN of them can). Its whole words form a trie; the
+Levenshtein automaton of one edit (for words of FUZZY letters or more) is intersected with that trie, and the result, together
+with the stems, becomes one deterministic table of states by letters. Texts run through that table word by word, all words of a
+batch side by side, and only words that are accepted are looked at again: a hit inside quotation marks, or with a reporting cue
+within WINDOW words before it, counts by a learned factor instead of in full.
+
+Words are runs of letters. Digits and signs that stand for letters count as these inside a word or at its start (1d10t), and
+single letters with one mark between them are also read as one word (s.c.u.m).
 
 Score: sigmoid(prior + sum over distinct terms of weight * context factor). Weights are smoothed log-odds of a term being
-hit once, twice, or OFTEN times and more; misspelled hits have their own, learned from how often one-edit forms of the term
-occur in clean and toxic training texts.
+hit once, twice, or OFTEN times and more. Those of misspelled hits are log-odds too, of one-edit forms of the term in toxic and
+clean training texts, with SLIPS of the term's toxic texts as the expectation before any are seen.
 
 Cases: null or empty text has no hits and gets the prior's score; ties in the lexicon's choice go to whole words, shorter words and longer stems, then the
 alphabetically first feature; a word near several terms counts for the nearest, then the first; repeated rows give repeated
-rows; no labelled row: an empty lexicon and score 0; an empty table gives an empty table; only doc_id and text are scored.
+rows; of several labels of one id the larger counts, of several texts the one of smallest hash; rows without an id are never
+learned from; no labelled row: an empty lexicon and score 0; an empty table gives an empty table; only doc_id and text are scored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,25 +37,56 @@ from pyspark.sql import functions as F
 from folio.llm.common import chunks, code_points, letters, remainder, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-#: Features that are looked at in the greedy cover, and terms kept, at most.
-FEATURES, TERMS = 4000, 64
+#: Groups of toxic texts that hold a feature, at least; share of the toxic texts that a further term must add.
+LEAST, GAIN = 4, 0.01
+#: How many times more often toxic texts hold it: over all, and in each half.
+RATIO, HALF_RATIO = 10.0, 4.0
 #: Words of so many letters or more may be misspelled by one edit.
 FUZZY = 5
-STEM = (4, 7)
+SHORTEST_STEM = 3
 #: Hits of a term in a text are told apart up to this many.
 OFTEN = 3
+SLIPS = 0.05
 WINDOW = 6
-#: Reporting cues that mark a quotation.
-CUES = frozenset("said says wrote called quoted quote quotes reported".split())
+#: Reporting cues that mark a quotation, in the languages of the documents.
+CUES = frozenset("said says wrote called quoted quote quotes reported dit disait écrit cité selon dijo dice escribió citó según sagte sagt schrieb zitiert laut".split())
 QUOTES = np.array([ord(c) for c in '"«»“”„'], np.uint32)
+#: Signs that stand for letters, and marks between spelled-out letters.
+SIGNS = dict(zip("013457@$", "oieastas", strict=True))
+MARKS = np.array([ord(c) for c in ".-_*·"], np.uint32)
 CUT = 0.7
 
 
 def words_of(cps: np.ndarray):
-    """Start and end of every run of letters, and the lower-cased code points."""
+    """Start and end of every word in the lower-cased letters, the letters, and where the word stands in the text."""
     low = letters()[cps]
+    hard = low > 0
+    sign = np.isin(cps, [ord(c) for c in SIGNS])
+    if sign.any():
+        pad = lambda x, k: np.concatenate((np.zeros(max(-k, 0), bool), x[max(k, 0) : len(x) + min(k, 0)], np.zeros(max(k, 0), bool)))
+        long = (pad(sign, -1) & pad(sign, -2)) | (pad(sign, -1) & pad(sign, 1)) | (pad(sign, 1) & pad(sign, 2))
+        stands = sign & ~long & (pad(hard, 1) | (pad(sign, 1) & pad(hard, 2)))
+        low = low.copy()
+        for c, letter in SIGNS.items():
+            low[stands & (cps == ord(c))] = ord(letter)
     edge = np.diff(np.concatenate(([0], (low > 0).astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), low
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # single letters with one mark between them
+    single = end - start == 1
+    joint = single[:-1] & single[1:] & (start[1:] - end[:-1] == 1) if len(start) > 2 else np.zeros(0, bool)
+    if joint.any():
+        joint[joint] = np.isin(cps[end[:-1][joint]], MARKS)
+    if not (joint[:-1] & joint[1:]).any():
+        return start, end, low, start, end
+    runs = np.diff(np.concatenate(([0], joint.astype(np.int8), [0])))
+    first, last = np.flatnonzero(runs == 1), np.flatnonzero(runs == -1)
+    spelled = [(int(a), int(b)) for a, b in zip(first, last, strict=True) if b - a >= 2]
+    more = [low[start[a : b + 1]] for a, b in spelled]
+    ends = len(low) + np.cumsum([len(x) for x in more])
+    begins = ends - [len(x) for x in more]
+    at, to = np.concatenate((start, [start[a] for a, _ in spelled])), np.concatenate((end, [end[b] for _, b in spelled]))
+    order = np.argsort(at, kind="stable")
+    return np.concatenate((start, begins))[order], np.concatenate((end, ends))[order], np.concatenate((low, *more)), at[order], to[order]
 
 
 class Automaton:
@@ -166,18 +205,18 @@ class ToxicityModel:
         """For each text: (term, misspelled, start, end, quoted) of each hit, offsets in code points."""
         for a, b in chunks(texts, 1_000_000):
             cps, at = code_points(texts[a:b])
-            start, end, low = words_of(cps)
+            start, end, low, left, right = words_of(cps)
             found = self.automaton.run(low, start, end)
             hit = np.flatnonzero(found >= 0)
-            owner = np.searchsorted(at, start[hit], "right") - 1
+            owner = np.searchsorted(at, left[hit], "right") - 1
             marks = np.cumsum(np.isin(cps, QUOTES)) if len(hit) else cps
             rows: list[list[tuple]] = [[] for _ in range(b - a)]
             for i, doc in zip(hit.tolist(), owner.tolist(), strict=True):
                 base = int(at[doc])
-                before = int(marks[start[i]] - (marks[base - 1] if base else 0))
-                after = int(marks[at[doc + 1] - 1] - marks[end[i] - 1])
-                said = any("".join(map(chr, low[start[w] : end[w]].tolist())) in CUES for w in range(max(i - WINDOW, 0), i) if start[w] >= base)
-                rows[doc].append((int(found[i]) >> 1, int(found[i]) & 1, int(start[i]) - base, int(end[i]) - base, bool(before % 2 and after) or said))
+                before = int(marks[left[i]] - (marks[base - 1] if base else 0))
+                after = int(marks[at[doc + 1] - 1] - marks[right[i] - 1])
+                said = any("".join(map(chr, low[start[w] : end[w]].tolist())) in CUES for w in range(max(i - WINDOW, 0), i) if left[w] >= base)
+                rows[doc].append((int(found[i]) >> 1, int(found[i]) & 1, int(left[i]) - base, int(right[i]) - base, bool(before % 2 and after) or said))
             yield from rows
 
     def score(self, hits: list[tuple]) -> float:
@@ -191,48 +230,78 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.prior + sum(best[t] for t in sorted(best))))))
 
 
-def features(text: str) -> set[str]:
-    """Whole words, and stems of longer words: marked by a star, and by two if two words or more of the text have it."""
+def features(text: str) -> tuple[set[str], int]:
+    """Whole words, and stems of longer words: marked by a star, and by two if two words or more of the text have it. And the
+    text's group of copies."""
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    start, end, low = words_of(cps)
+    start, end, low, _, _ = words_of(cps)
     joined = low.tobytes().decode("utf-32-le", "replace")
     words = Counter(joined[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True) if 3 <= e - s)
     stems: Counter = Counter()
     for w, n in words.items():
-        for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
+        for k in range(SHORTEST_STEM, len(w)):
             stems[w[:k]] += n
-    return {w for w in words if len(w) <= 24} | {w + "*" for w in stems} | {w + "**" for w, n in stems.items() if n > 1}
+    group = min((zlib.crc32(w.encode("utf-8", "replace")) for w in words), default=0)
+    return set(words) | {w + "*" for w in stems} | {w + "**" for w, n in stems.items() if n > 1}, group
+
+
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: np.ndarray, n_clean: np.ndarray) -> bool:
+    """Whether a feature's counts in both halves tell toxic texts from clean ones."""
+    rate = lambda x, n: (x + 0.5) / (n + 1)
+    return bool(rate(toxic.sum(), n_toxic.sum()) >= RATIO * rate(clean.sum(), n_clean.sum()) and (toxic > 0).all() and (rate(toxic, n_toxic) >= HALF_RATIO * rate(clean, n_clean)).all())
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> ToxicityModel:
-    """docs, labels: the rows to learn from. Features are counted on the executors; the driver gets the chosen ones."""
+    """docs, labels: the rows to learn from. Features are counted on the executors; the driver gets those of the bounded sample."""
     spark = docs.sparkSession
-    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("_y")).dropDuplicates(["doc_id"])
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     base = known.agg(F.coalesce(F.avg("_y"), F.lit(0.0)).alias("m")).collect()[0]["m"]
     pick = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, n_toxic).unionAll(pick(0, n_clean))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_y")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select(F.col("x.text").alias("text"), F.col("_y").alias("y"))
 
-    def count(batches):
-        seen = {0: Counter(), 1: Counter()}
+    def of_toxic(batches):
         for batch in batches:
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen[y].update(features(text or ""))
-        both = sorted(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([seen[0][k] for k in both], pa.int64()), pa.array([seen[1][k] for k in both], pa.int64())], ["f", "clean", "toxic"])
+            for text in batch.column(0).to_pylist():
+                fs, group = features(text)
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(fs), pa.string()), pa.array([group] * len(fs), pa.int64())], ["f", "g"])
 
-    counted = rows.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = {r["_y"]: r["count"] for r in ids.groupBy("_y").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    good = counted.where(F.col("toxic") * (n0 + 1) >= (F.col("clean") + 0.5) * 10 * (n1 + 1)).where("toxic >= 3").orderBy(F.desc("toxic"), F.length("f"), "f").limit(FEATURES).collect()
-    stats = {r["f"]: (r["toxic"], r["clean"]) for r in good}
+    half = lambda k: F.count_if(F.pmod("g", F.lit(2)) == k)
+    often = rows.where("y = 1").select("text").mapInArrow(of_toxic, "f string, g long").distinct().groupBy("f").agg(half(0).alias("a"), half(1).alias("b")).where(f"a > 0 and b > 0 and a + b >= {LEAST}").collect()
+    toxic = {r["f"]: np.array([r["a"], r["b"]]) for r in often}
+    wanted = spark.sparkContext.broadcast(frozenset(toxic))
+
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, group = features(text)
+                seen[f"= {y} {group}", group % 2] += 1
+                if y == 0:
+                    seen.update((f, group % 2) for f in fs & wanted.value)
+        both = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in both], pa.string()), pa.array([k[1] for k in both], pa.int64()), pa.array([seen[k] for k in both], pa.int64())], ["f", "half", "n"])
+
+    clean: dict[str, np.ndarray] = {}
+    texts, groups = np.zeros((2, 2)), np.zeros((2, 2))
+    for r in rows.mapInArrow(count, "f string, half long, n long").groupBy("f", "half").agg(F.sum("n").alias("n")).collect():
+        if r["f"].startswith("= "):
+            texts[int(r["f"][2]), r["half"]] += r["n"]
+            groups[int(r["f"][2]), r["half"]] += 1
+        else:
+            clean.setdefault(r["f"], np.zeros(2))[r["half"]] = r["n"]
+    n1, n0 = texts[1].sum(), texts[0].sum()
+    none = np.zeros(2)
+    stats = {f: (int(t.sum()), int(clean.get(f, none).sum())) for f, t in toxic.items() if telling(t, clean.get(f, none), groups[1], texts[0])}
+    good = spark.sparkContext.broadcast(frozenset(stats))
 
     def incidence(batches):
         for batch in batches:
-            out = [(y, sorted(features(t or "") & stats.keys())) for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if y == 1]
-            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], pa.list_(pa.string()))], ["fs"])
+            out = [sorted(features(t)[0] & good.value) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["fs"])
 
-    has = [set(r["fs"]) for r in rows.mapInArrow(incidence, "fs array<string>").limit(n_toxic).collect()] if stats else []
+    has = [set(r["fs"]) for r in rows.where("y = 1").select("text").mapInArrow(incidence, "fs array<string>").collect()] if stats else []
     chosen = cover(has, stats, n1 / max(n0, 1))
     words, stems = sorted(f for f in chosen if not f.endswith("*")), sorted(f.rstrip("*") for f in chosen if f.endswith("*"))
     automaton = Automaton(words, stems)
@@ -242,25 +311,25 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean
     def observe(batches):
         tally: Counter = Counter()
         for batch in batches:
-            for hits, y in zip(held.value.hits([t or "" for t in batch.column(1).to_pylist()]), batch.column(2).to_pylist(), strict=True):
+            for hits, y in zip(held.value.hits(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
                 for (term, miss), n in Counter((h[0], h[1]) for h in hits).items():
                     tally[term, miss, min(n, OFTEN), y] += 1
                 if hits and all(h[4] for h in hits):
                     tally[-2, 0, 0, y] += 1
-        rows = [(*k, n) for k, n in sorted(tally.items())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["term", "miss", "times", "y", "n"])
+        out = [(*k, n) for k, n in sorted(tally.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["term", "miss", "times", "y", "n"])
 
     told = rows.mapInArrow(observe, "term long, miss long, times long, y long, n long").groupBy("term", "miss", "times", "y").agg(F.sum("n").alias("n")).collect()
     seen = {(r["term"], r["miss"], r["times"], r["y"]): r["n"] for r in told}
     k = len(automaton.terms)
-    exact = np.zeros((k, OFTEN + 1))
+    exact, fuzzy = np.zeros((k, OFTEN + 1)), np.zeros(k)
+    odds = lambda a, b: math.log(a / (n1 + 1)) - math.log(b / (n0 + 1))
     for t in range(k):
         for times in range(1, OFTEN + 1):
-            w = math.log((seen.get((t, 0, times, 1), 0) + 0.5) / (n1 + 1)) - math.log((seen.get((t, 0, times, 0), 0) + 0.5) / (n0 + 1))
+            w = odds(seen.get((t, 0, times, 1), 0) + 0.5, seen.get((t, 0, times, 0), 0) + 0.5)
             exact[t, times] = min(6.0, max(exact[t, times - 1], w))
-    # one edit of a term that clean texts also hold says nothing; one never seen counts as a moderate sign
-    missed = lambda t, y: sum(seen.get((t, 1, times, y), 0) for times in range(1, OFTEN + 1))
-    fuzzy = np.array([0.0 if missed(t, 0) > 0.1 * missed(t, 1) else min(3.5, 2.6 + 0.3 * missed(t, 1)) for t in range(k)])
+        total = lambda miss, y: sum(seen.get((t, miss, times, y), 0) for times in range(1, OFTEN + 1))  # noqa: B023, E731
+        fuzzy[t] = min(exact[t, 1], max(0.0, odds(total(1, 1) + SLIPS * total(0, 1) + 0.5, total(1, 0) + 0.5)))
     quoted = (seen.get((-2, 0, 0, 1), 0) + 1) / (seen.get((-2, 0, 0, 1), 0) + seen.get((-2, 0, 0, 0), 0) + 2)
     prior = math.log(max(base, 1e-3) / max(1 - base, 1e-3)) if n1 else -30.0
     return ToxicityModel(automaton, prior, exact, fuzzy, quoted)
@@ -276,25 +345,23 @@ def cover(has: list[set[str]], stats: dict[str, tuple[int, int]], rate: float, t
     for i, fs in enumerate(has):
         for f in fs:
             where[f].append(i)
-    left, chosen, out = [times] * len(has), [], set()
-    least = max(3, 0.01 * len(has))
-    while len(chosen) < TERMS:
+    left, chosen = [times] * len(has), []
+    least = max(3, GAIN * len(has))
+    while True:
         best, best_key = None, None
         for f, docs in where.items():
-            if f in out:
-                continue
             gain = sum(1 for d in docs if left[d] > 0) - 4 * rate * stats[f][1]
             key = (-gain, f.count("*"), -len(f) if "*" in f else len(f), f)
             if gain >= least and (best_key is None or key < best_key):
                 best, best_key = f, key
         if best is None:
-            break
+            return chosen
         chosen.append(best)
         for d in where[best]:
             left[d] -= 1
         stem = best.rstrip("*")
-        out.update(f for f in where if f.rstrip("*").startswith(stem) or (stem.startswith(f.rstrip("*")) and f.endswith("*")))
-    return chosen
+        family = lambda f: f.rstrip("*").startswith(stem) or (stem.startswith(f.rstrip("*")) and f.endswith("*"))  # noqa: B023, E731
+        where = {f: docs for f, docs in where.items() if not family(f)}
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
