@@ -81,6 +81,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_id(docs: DataFrame) -> F.Column:
+    """doc_id as a long; for a row without one a number from its text, at least 2 ** 62, which is above all doc_ids."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")).bitwiseAND((1 << 61) - 1) + (1 << 62))
+
+
 def remainder(col: str, of: int) -> F.Column:
     """crc32 of an id as text, modulo `of`: the fixed folds of the learned operators."""
     return F.crc32(F.col(col).cast("string")) % of

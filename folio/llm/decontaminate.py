@@ -3,13 +3,18 @@
 Words are runs of ASCII letters and digits and of all other characters outside ASCII, ASCII letters in lower case. A window
 is 13 words of an item in a row, or all of a shorter item. A document holds a window of w words only if one of its own
 blocks of (w + 1) / 2 words, cut at multiples of that length, lies inside; so just the blocks' hashes are looked up in a
-hash set of the items' word n-grams, which goes with the tasks. Around blocks found there, whole windows are compared word
-by word with the items' windows (a broadcast join), so results are exact. Sets of more than SET n-grams aren't broadcast:
-then every window's hash is joined with the items' by shuffle, with the same result.
+hash set of the items' word n-grams. The set is a bit table of LEAST to MOST words of 64 bits, BITS of them for each n-gram
+(fewer beyond MOST), which goes with the tasks; what it lets through by chance costs time only. Around blocks found there,
+whole windows are compared word by word with the items' windows by a join, so results are exact, and only those windows are
+shuffled where the items' are too many to be broadcast. The plan is the same at every size.
+
+Items that share a window don't multiply it: a window is joined once and names the set of its items, and the sets of a
+document's windows are put together at the end.
 
 Cases: null text has no words; a text without words is never contaminated; a word in several windows is hit once; items
-repeated with one item_id count once; repeated rows give repeated rows; without items or documents the result has no hits
-or no rows; of docs doc_id and text are read, decontaminate() keeps all columns.
+repeated with one item_id count once; items without an item_id hit words, count as one item and aren't listed; repeated rows
+give repeated rows; without items or documents the result has no hits or no rows; of docs doc_id and text are read,
+decontaminate() keeps all columns.
 """
 
 from __future__ import annotations
@@ -17,13 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import small, table, written
+from folio.llm.common import own_id, small, table, written
 
 WINDOW = 13
-#: N-grams of items that may go with the tasks as a hash set.
-SET = 200_000
+#: Bits of the hash set for an n-gram, and its least and largest size in 64-bit words (16 MB).
+BITS, LEAST, MOST = 16, 64, 1 << 21
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+HITS = "array<struct<at:int,end:int>>"
 
 
 def words(text: Column) -> Column:
@@ -34,86 +40,121 @@ def gram(ws: Column, at: Column, n: int | Column) -> Column:
     return F.translate(F.array_join(F.slice(ws, at + 1, n), " "), UPPER, LOWER)
 
 
-def block_hash(ws: Column, at: Column, n: int) -> Column:
-    """Of a block of n words. Lower case by all of Unicode here: it never parts what ASCII lower case makes equal."""
-    return F.xxhash64(F.lower(F.array_join(F.slice(ws, at + 1, n), " ")))
+def block_hash(ws: Column, at: Column, n: int | Column, w: int | Column) -> Column:
+    """Of a block of n words for windows of w. Lower case by all of Unicode here: it never parts what ASCII lower case makes
+    equal."""
+    return F.xxhash64(F.lower(F.array_join(F.slice(ws, at + 1, n), " ")), w)
 
 
-def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id (as text), w, win, ws of every window; ws are the item's words."""
+def item_windows(bench: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """w, win, items (the name of its set of items) of every window; and items, ids (sorted, as text), anonymous of the sets."""
     items = bench.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("ws")).where(F.size("ws") > 0)
     items = items.withColumn("w", F.least(F.size("ws"), F.lit(window)))
     at = F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("w")))
-    return items.select("item_id", "w", "ws", at.alias("at")).select("item_id", "w", gram(F.col("ws"), F.col("at"), F.col("w")).alias("win")).distinct()
+    wins = items.select("item_id", "w", "ws", at.alias("at")).select("item_id", "w", gram(F.col("ws"), F.col("at"), F.col("w")).alias("win"))
+    sets = wins.groupBy("w", "win").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("anonymous"))
+    named = written(sets.withColumn("items", F.sha1(F.to_json(F.struct("ids", "anonymous")))), "windows")
+    return named.select("w", "win", "items"), named.select("items", "ids", "anonymous").dropDuplicates(["items"])
 
 
-def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = SET) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), spans (array of start, end
-    of hit words), contaminated."""
-    wins = item_windows(bench, window)
+def bit_table(hashes: DataFrame) -> DataFrame:
+    """One row: the hash set of column h as an array of 64-bit words. A hash sets three bits of one word."""
+    n = hashes.count()
+    size = min(MOST, max(LEAST, 1 << max(0, n * BITS // 64 - 1).bit_length()))
+    filled = hashes.groupBy(F.pmod("h", F.lit(size)).alias("id")).agg(F.bit_or(bits_of(F.col("h"))).alias("bits"))
+    dense = hashes.sparkSession.range(size).join(filled, "id", "left").select("id", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("x")).select(F.col("x.bits").alias("bits"))
+
+
+def bits_of(h: Column) -> Column:
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, k).bitwiseAND(63).cast("int"))
+    return bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
+
+
+def candidates(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """row, doc_id, n (words), at, w, win: the windows of each document that may be an item's; at least one row per document."""
     spans = docs.select(F.col("doc_id").cast("long"), words(F.col("text").cast("string")).alias("ws"))
     spans = spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("ws").alias("n"), "ws")
     # windows have at most `window` lengths
     lengths = sorted(r["w"] for r in wins.select("w").distinct().collect())
-    parts = wins.select("w", F.split("win", " ").alias("ws")).withColumn("b", F.floor((F.col("w") + 1) / 2).cast("int"))
-    parts = parts.select("w", "b", "ws", F.explode(F.sequence(F.lit(0), F.col("w") - F.col("b"))).alias("at"))
-    hashes = parts.select("w", F.xxhash64(F.lower(F.array_join(F.slice("ws", F.col("at") + 1, F.col("b")), " "))).alias("h")).distinct()
-    found = hashes.limit(limit + 1).collect() if lengths else []
-    kind = "array<struct<at:int,w:int,win:string>>"
-
-    def candidates(w: int) -> Column:
-        """Windows of w words of a document that may be an item's."""
-        n, b, ws = F.col("n"), (w + 1) // 2, F.col("ws")
-        if len(found) <= limit:
-            known = [r["h"] for r in found if r["w"] == w]
-            blocks = F.transform(F.sequence(F.lit(0), n - b, F.lit(b)), lambda i: F.struct(i.alias("i"), block_hash(ws, i, b).alias("h")))
-            first, last = (lambda x: F.greatest(x["i"] - (w - b), F.lit(0))), (lambda x: F.least(x["i"], n - w))
-            around = lambda x: F.when(last(x) >= first(x), F.sequence(first(x), last(x))).otherwise(F.array().cast("array<int>"))
-            starts = F.array_distinct(F.flatten(F.transform(F.filter(blocks, lambda x: x["h"].isin(known)), around)))
-        else:
-            starts = F.sequence(F.lit(0), n - w)
-        some = F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(w).alias("w"), gram(ws, s, w).alias("win")))
-        return F.when(n >= w, some).otherwise(F.array().cast(kind))
-
-    near = F.concat(F.array().cast(kind), *map(candidates, lengths))
-    exact = spans.select("row", "doc_id", "n", F.explode_outer(near).alias("x")).select("row", "doc_id", "n", "x.at", "x.w", "x.win")
-    table_ = wins.select("w", "win", "item_id")
-    exact = exact.join(F.broadcast(table_) if len(found) <= limit else table_, ["w", "win"], "left")
-    hit = F.col("item_id").isNotNull()
-    grouped = exact.groupBy("row", "doc_id", "n").agg(
-        F.array_sort(F.collect_set(F.when(hit, F.struct("at", (F.col("at") + F.col("w")).alias("end"))))).alias("hits"),
-        F.array_sort(F.collect_set("item_id")).alias("items"),
-    )
-    empty = F.array().cast("array<struct<at:int,end:int>>")
-
-    def union(acc: Column, x: Column) -> Column:
+    half = lambda w: F.floor((w + 1) / 2).cast("int")
+    parts = wins.select("w", F.split("win", " ").alias("ws")).select("w", "ws", F.explode(F.sequence(F.lit(0), F.col("w") - half(F.col("w")))).alias("at"))
+    hashes = parts.select(block_hash(F.col("ws"), F.col("at"), half(F.col("w")), F.col("w")).alias("h")).distinct()
+    ws, n = F.col("ws"), F.col("n")
+    kind = "array<struct<i:int,w:int,h:bigint>>"
+
+    def blocks(w: int) -> Column:
+        b = (w + 1) // 2
+        own = F.transform(F.sequence(F.lit(0), n - b, F.lit(b)), lambda i: F.struct(i.alias("i"), F.lit(w).alias("w"), block_hash(ws, i, b, F.lit(w)).alias("h")))
+        return F.when(n >= w, own).otherwise(F.array().cast(kind))
+
+    def around(x: Column) -> Column:
+        """The windows that hold block x."""
+        first, last = F.greatest(x["i"] - F.floor(x["w"] / 2).cast("int"), F.lit(0)), F.least(x["i"], n - x["w"])
+        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(x["w"].alias("w"), s.alias("at")))
+
+    every = F.concat(F.array().cast(kind), *map(blocks, lengths))
+    size, table_ = F.lit(1), None
+    if lengths:
+        table_ = bit_table(hashes)
+        size = table_.select(F.size("bits")).collect()[0][0]
+    # the set is named once, so that it stays in the filter and doesn't become a column of every row
+    test = lambda x: F.get("set", F.pmod(x["h"], F.lit(size)).cast("int"))
+    marked = F.filter(every, lambda x: test(x).bitwiseAND(bits_of(x["h"])) == bits_of(x["h"]))
+    found = spans.withColumn("set", table_.scalar()).select("row", "doc_id", "n", "ws", marked.alias("found")) if lengths else spans.select("row", "doc_id", "n", "ws", F.array().cast(kind).alias("found"))
+    starts = F.array_distinct(F.flatten(F.transform("found", around)))
+    near = found.select("row", "doc_id", "n", "ws", F.explode_outer(starts).alias("x"))
+    return near.select("row", "doc_id", "n", F.col("x.at").alias("at"), F.col("x.w").alias("w"), F.when(F.col("x.at").isNotNull(), gram(ws, F.col("x.at"), F.col("x.w"))).alias("win"))
+
+
+def union(hits: Column) -> Column:
+    """Sorted spans (at, end), those that overlap or touch as one."""
+
+    def step(acc: Column, x: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
         joins = (F.size(acc) > 0) & (x["at"] <= last["end"])
         merged = F.struct(last["at"].alias("at"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(x)))
 
-    out = grouped.withColumn("spans", F.aggregate("hits", empty, union))
+    return F.aggregate(hits, F.array().cast(HITS), step)
+
+
+def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), spans (array of start, end
+    of hit words), contaminated."""
+    wins, sets = item_windows(bench, window)
+    exact = candidates(docs, wins).join(small(wins, wins.count()), ["w", "win"], "left")
+    hit = F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("w")).alias("end")))
+    grouped = written(exact.groupBy("row", "doc_id", "n").agg(F.array_sort(F.collect_set(hit)).alias("hits"), F.collect_set("items").alias("sets")), "hits")
+    listed = grouped.where(F.size("sets") > 0).select("row", F.explode("sets").alias("items")).join(small(sets, sets.count()), "items")
+    listed = listed.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"), F.bool_or("anonymous").cast("int").alias("anonymous"))
+    out = grouped.join(listed, "row", "left").withColumn("spans", union(F.col("hits")))
     n_hit = F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["end"] - x["at"])
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), "spans")
+    n_items = F.coalesce(F.size("ids") + F.col("anonymous"), F.lit(0))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), n_items.cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("items"), "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (mode "spans") with the words of hit windows cut out of their texts.
 
-    A doc_id with several rows goes if one of them is contaminated; in mode "spans" doc_id must name one row.
+    A doc_id with several rows goes if one of them is contaminated; in mode "spans" doc_id must name one row, or equal ones.
+    Rows without a doc_id are told apart by their texts.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    found = scan(docs, bench)
+    own = own_id(docs)
+    found = scan(docs.select(own.alias("doc_id"), "text"), bench).withColumnRenamed("doc_id", "_own")
     if mode == "documents":
-        bad = written(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-        return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(*docs.columns)
-    spans = found.where("n_hit > 0").select("doc_id", F.col("spans").alias("_spans"))
-    gaps, ws = F.split("text", WORD, -1), words(F.col("text"))
-    kept = F.transform(ws, lambda w, i: F.concat(F.get(gaps, i), F.when(F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["end"])), F.lit("")).otherwise(w)))
+        bad = written(found.where("contaminated").select("_own").distinct(), "contaminated")
+        return docs.join(small(bad, bad.count()), own == F.col("_own"), "left_anti").select(*docs.columns)
+    spans = found.where("n_hit > 0").dropDuplicates(["_own"]).select("_own", F.col("spans").alias("_hit_spans"))
+    gaps, ws = F.split(docs["text"], WORD, -1), words(docs["text"])
+    kept = F.transform(ws, lambda w, i: F.concat(F.get(gaps, i), F.when(F.exists("_hit_spans", lambda s: (s["at"] <= i) & (i < s["end"])), F.lit("")).otherwise(w)))
     cut = F.concat(F.array_join(kept, ""), F.get(gaps, F.size(ws)))
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("_hit_spans").isNotNull(), cut).otherwise(docs["text"])
+    return docs.join(spans, own == F.col("_own"), "left").select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
