@@ -2,7 +2,8 @@
 
 Size-aware: a set of at most `boundary` shingles posts a signature for each of its fixed-size subsets (two such sets are
 linked only if they share a subset of the size that their sizes ask for); a larger set posts its rarest shingles, those of
-the prefix that a linked set must meet, and their inverted lists are scanned. The boundary minimises the cost by the measured
+the prefix that a linked set must meet, and their inverted lists are scanned (the prefix's leading part meets sets that aren't
+smaller; the rest of it only the leading parts of smaller ones). The boundary minimises the cost by the measured
 sizes and list lengths. Rarity comes from a count sketch of fixed size over all shingles of all documents; it only orders
 shingles, so its collisions cost time and never links. Every candidate pair is verified on the whole sets.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_rows, chunks, forget, small, table, tidy, written
+from folio.llm.common import arrow_rows, chunks, forget, own_id, small, table, tidy, written
 
 #: Counters of the sketch, parts in which it is summed, and how many tasks' parts one task adds up at a time.
 SKETCH, PARTS, FAN = 1 << 22, 16, 64
@@ -79,6 +80,10 @@ class Rule:
         """How many subsets a set of s shingles posts."""
         return sum(comb(s, c) for c in self.subset_sizes(s, boundary)) if s <= boundary else 0
 
+    def leading(self, s: int) -> int:
+        """Length of the prefix in which a set meets the sets linked with it that aren't smaller."""
+        return s - -(-2 * self.percent * s // (100 + self.percent)) + 1
+
     def scanned(self, s: int, boundary: int) -> int:
         """How many prefix shingles a set of s shingles posts."""
         return self.prefix(s) if max(self.partners(s)) > boundary else 0
@@ -160,20 +165,22 @@ def list_length(counts: np.ndarray, rule: Rule) -> float:
     return float((occurrences * np.arange(len(n)))[rare].sum() / max(1, occurrences[rare].sum()))
 
 
-def postings(elements: np.ndarray, counts: np.ndarray, boundary: int, rule: Rule) -> np.ndarray:
-    """What a set posts: subset signatures, prefix shingles, or both near the boundary."""
-    n, out = len(elements), []
+def postings(elements: np.ndarray, counts: np.ndarray, boundary: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """What a set posts: subset signatures and the leading shingles of its prefix; and the rest of its prefix, in which it only
+    meets smaller sets' leading shingles."""
+    n, lead, trail = len(elements), [], elements[:0]
     if n <= boundary:
         own = mix(elements ^ MULT)
         with np.errstate(over="ignore"):
             for c in rule.subset_sizes(n, boundary):
                 whole = own.sum()
                 sums = [whole - own[list(gone)].sum() for gone in combinations(range(n), n - c)]
-                out.append(mix(np.array(sums, np.uint64) + np.uint64(c) * MULT))
+                lead.append(mix(np.array(sums, np.uint64) + np.uint64(c) * MULT))
     if n and max(rule.partners(n)) > boundary:
         rare = np.argsort(counts[elements & np.uint64(len(counts) - 1)], kind="stable")[: rule.prefix(n)]
-        out.append(elements[rare])
-    return np.unique(np.concatenate(out)) if out else elements
+        lead.append(elements[rare[: rule.leading(n)]])
+        trail = elements[rare[rule.leading(n) :]]
+    return (np.unique(np.concatenate(lead)) if lead else elements[:0]), np.setdiff1d(trail, np.concatenate(lead)) if len(trail) else trail
 
 
 def _texts(batch) -> list[str]:
@@ -188,7 +195,7 @@ def sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, dict[int, int]]:
     size = SKETCH // PARTS
 
     def count(batches):
-        total, sizes = np.zeros(SKETCH, np.int32), np.zeros(2 * SMALLEST, np.int64)
+        total, sizes = np.zeros(SKETCH, np.int64), np.zeros(2 * SMALLEST, np.int64)
         for batch in batches:
             for s in shingle_sets(_texts(batch), rule.words):
                 if len(s) < 2 * SMALLEST:
@@ -228,22 +235,24 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
 
 
 def posted(docs: DataFrame, counts: np.ndarray, boundary: int, rule: Rule) -> DataFrame:
-    """doc_id, n, rid, chk (halves of the set's hash, null if empty), posts of each document."""
+    """doc_id, n, rid, chk (halves of the set's hash, null if empty), posts, trail of each document."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            n, rid, chk, posts = [], [], [], []
+            n, rid, chk, posts, trail = [], [], [], [], []
             for s in shingle_sets(_texts(batch), rule.words):
                 n.append(len(s))
                 a, b = identity(s) if len(s) else (None, None)
                 rid.append(a)
                 chk.append(b)
-                posts.append(postings(s, held.value, boundary, rule).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(chk, pa.int64()), pa.array(posts, pa.list_(pa.int64()))], ["doc_id", "n", "rid", "chk", "posts"])
+                lead, rest = postings(s, held.value, boundary, rule)
+                posts.append(lead.view(np.int64))
+                trail.append(rest.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, rid, chk)), *(pa.array(x, pa.list_(pa.int64())) for x in (posts, trail))], ["doc_id", "n", "rid", "chk", "posts", "trail"])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, chk long, posts array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, chk long, posts array<long>, trail array<long>")
 
 
 def packed(elements: np.ndarray) -> bytes:
@@ -381,13 +390,17 @@ def _join(docs: DataFrame, rule: Rule) -> DataFrame:
     # one document posts for each class of equal sets; the others' postings are left out by a join on their ids alone
     copies = written(all_docs.where("n > 0").join(classes.withColumnRenamed("doc_id", "one"), "rid").where("not doc_id <=> one").select(F.col("doc_id").alias("d"), F.col("rid").alias("r")).distinct(), "copies")
     unique = rows.where("n > 0").join(small(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left_anti")
-    posts = unique.select(F.explode("posts").alias("e"), "rid", "n")
-    lists = written(posts.groupBy("e").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    tagged = lambda c, lead: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(lead).alias("lead")))
+    posts = unique.select(F.explode(F.concat(tagged("posts", True), tagged("trail", False))).alias("x"), "rid", "n").select("x.e", "x.lead", "rid", "n")
+    # a list in which no set leads holds no pair
+    lists = written(posts.groupBy("e").agg(F.count("*").alias("size"), F.max("lead").alias("led")).where("size > 1 and led").drop("led"), "lists")
     members = written(posts.join(small(lists, lists.count()), "e"), "members")
     forget(first, copies, lists)
     pair = lambda x, y: F.struct(F.least(x["rid"], y["rid"]).alias("a"), F.greatest(x["rid"], y["rid"]).alias("b"))
-    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * rule.percent
-    light = members.where(F.col("size") <= LIGHT).groupBy("e").agg(F.array_sort(F.collect_set(F.struct("rid", "n"))).alias("own")).select("own").distinct()
+    close = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * rule.percent
+    # linked sets share a shingle that leads in the smaller of them, in both if they are of one size
+    fits = lambda x, y: close(x, y) & (x["lead"] | (x["n"] > y["n"])) & (y["lead"] | (y["n"] > x["n"]))
+    light = members.where(F.col("size") <= LIGHT).groupBy("e").agg(F.array_sort(F.collect_set(F.struct("rid", "n", "lead"))).alias("own")).select("own").distinct()
     inner = lambda x, i: F.transform(F.filter(F.slice("own", i + 2, LIGHT), lambda y: fits(x, y)), lambda y: pair(x, y))
     light = light.select(F.explode(F.flatten(F.transform("own", inner))).alias("p")).select("p.a", "p.b")
     heavy = members.where(F.col("size") > LIGHT).select("e", "rid").distinct()
@@ -432,7 +445,7 @@ def one_of_each(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
     """docs, with their own columns, without documents whose component has a smaller doc_id. Rows of one doc_id are one
     document: they stay or go together. So are rows without a doc_id whose texts are equal; they come after all doc_ids (which
     must be less than 2 ** 62), so they go if a document with a doc_id is in their component."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << 61) - 1) + (1 << 62))
+    own = own_id(docs)
     gone = written(join(docs.select(own.alias("doc_id"), "text"), rule).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(small(gone, gone.count()), own == F.col("_gone"), "left_anti").select(*docs.columns)
 
