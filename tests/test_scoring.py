@@ -38,7 +38,7 @@ def test_mutations(spark):
     found = M.outcomes(rows, "id", "doc")
     assert {r["id"] for r in found.select("id").distinct().collect()} == {1}
     tally = {r["kind"]: r for r in M.tallied(found).collect()}
-    assert set(tally) == set(M.KINDS) and all(r["wrong_fix"] == 0 and r["detected"] == r["flagged"] for r in tally.values())
+    assert set(tally) == {*M.KINDS, "total"} and tally["total"]["mutations"] == found.count() and all(r["wrong_fix"] == 0 and r["detected"] == r["flagged"] for r in tally.values())
     # a total that equals the subtotal reads as one that holds the tax; a base one unit off stays within the amount's rounding
     missed = {(r["path"], r["kind"]) for r in found.where("not detected").collect()}
     assert missed == {("total", "wrong_row"), ("tax_lines[0].base", "one_minor_unit")}
