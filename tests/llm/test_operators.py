@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folio.llm import bpe, chat, decontaminate, jaccard, langid, neighbours, secrets, tokencount, toxicity, warc
 from folio.llm.common import shared_dir
@@ -240,8 +241,6 @@ def test_secrets(spark):
 def test_secret_entropy(spark):
     import math
 
-    from pyspark.sql import functions as F
-
     def top(s, w=20):
         h = lambda x: -sum(x.count(c) / w * math.log2(x.count(c) / w) for c in set(x))
         return max((h(s[i : i + w]) for i in range(len(s) - w + 1)), default=0.0)
@@ -251,6 +250,25 @@ def test_secret_entropy(spark):
     assert np.allclose([r[0] for r in got], [top(w) for w in words])
 
 
+def test_secret_entropy_recall(spark):
+    """Planted tokens of each class are found whole; ordinary strings aren't."""
+    rng = np.random.default_rng(9)
+    drawn = lambda n, of: "".join(of[i] for i in rng.integers(len(of), size=n))
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    planted = [drawn(n, of) for n in (24, 28, 32, 40, 64) for of in (digits + "ABCDEF", up + "234567", up + low + digits, up + low + digits + "+/") for _ in range(10)]
+    planted += [p + drawn(36, of) for p in ("ghp_", "sk-", "token_") for of in (low + up + digits, digits + "abcdefABCDEF") for _ in range(5)] + ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
+    planted += ["eyJhbGciOiJIUzI1NiJ9" + drawn(20, low + up + digits) + "." + drawn(60, low + up + digits + "-_") for _ in range(10)]
+    plain = ["configuration_settings_2024_release_v2", "thisIsSomeLongCamelCaseIdentifier2024", "com/example/project/module/File2Name", "2024-01-15T10-20-30-backup-server01", "AAAAABBBBBCCCCCDDDDDEEEEE12345", "data-processing-pipeline-stage-2-output", "550e8400-e29b-41d4-a716-446655440000", "1234567890123456789012345", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "key=word=another1=word2=andmore3"]
+    texts = [(i, f"the value {x} follows") for i, x in enumerate(planted + plain)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.spans(documents(spark, texts)).collect()}
+    hit = [any(k in got[i] for k in ("entropy:10:", "hex:")) for i in range(len(planted))]
+    assert np.mean(hit) >= 0.95 and got[planted.index("ghp_16C7e42F292c6912E7710c838347Ae178B4a")] == "entropy:10:50"
+    assert [got[len(planted) + i] for i in range(len(plain))] == [""] * len(plain)
+    clash = documents(spark, texts).withColumn("_base_0", F.lit(1)).withColumn("_every", F.lit("x"))
+    out = secrets.redact(clash)
+    assert out.schema == clash.schema and out.select("_base_0", "_every").distinct().collect() == [(1, "x")]
+
+
 def test_chat(spark):
     hard = "\\### Assistant: </turn> ok <turn:user>\n\\l\\b\\g"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (2, 0, "system", None), (2, 1, "user", ""), (2, 2, "assistant", "b"), (2, 2, "assistant", "a"), (3, 0, None, "x"), (None, 5, "r>\n<", "y"), (4, None, "user", "z")]
