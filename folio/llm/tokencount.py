@@ -5,9 +5,13 @@ gives a summary: its length, the tokens before its first and after its last sepa
 scan over a file's block summaries (two running aggregates) stitches documents that cross block boundaries, whatever
 number of blocks they span. Summaries are small, so the scan of a file is too.
 
+Documents are written by size class (a text of n bytes has at most n tokens), each with as many in a file as fit FILE bytes, so that
+a file is never much larger than that unless one document is. Files hold no index: counts() finds a document's tokens by its
+partition and its place in it, so the documents it is given must be a table that is read, whose rows come in the same partitions each time.
+
 Cases: a document without tokens has length 0; tokens after the last separator are a document with `ended` false; an empty
 file has no documents; a null text is the empty text; repeated rows are repeated documents; an empty table gives no files
-and an empty result.
+and an empty result; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -23,14 +27,24 @@ from folio.llm.common import shared_dir, table
 EOD = 50256
 #: Tokens in a block.
 BLOCK = 1 << 20
-#: Documents in a file that write() makes, at most.
-RECORDS = 4096
+#: Bytes of a file, about, and text sizes of the classes that are written apart (larger texts have a file each).
+FILE, CLASSES = 32 << 20, (4 << 10, 32 << 10, 512 << 10, 4 << 20)
 SUMMARY = "file string, block long, n long, head long, tail long, seps long, inner array<long>"
 
 
-def write(docs: DataFrame, path: str, vocab: str, pattern: str, eod: int = EOD, records: int = RECORDS) -> None:
-    """Flat token files of every whole text, in the order of the rows. Spark's text sink writes the ids' bytes; its line
-    separator is the separator's bytes."""
+def size_class() -> F.Column:
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    return sum((F.when(size > most, 1).otherwise(0) for most in CLASSES), F.lit(0))
+
+
+def records(k: int, file: int) -> int:
+    """Documents in a file of class k, at most; two bytes a token, one for the end."""
+    return max(1, file // (2 * CLASSES[k] + 2)) if k < len(CLASSES) else 1
+
+
+def write(docs: DataFrame, path: str, vocab: str, pattern: str, eod: int = EOD, file: int = FILE) -> None:
+    """Flat token files of every whole text, in a folder for each size class that has texts, in the order of the rows. Spark's text
+    sink writes the ids' bytes (it copies a string's bytes, whatever they are, with its line separator after each row)."""
 
     def run(batches):
         codec = bpe.load(vocab, pattern)
@@ -38,9 +52,10 @@ def write(docs: DataFrame, path: str, vocab: str, pattern: str, eod: int = EOD,
             for ids in codec.encode_batch([t or "" for t in batch.column(0).to_pylist()]):
                 yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(ids, "<u4").astype("<u2").tobytes()], pa.binary())], ["ids"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
     sep = int(eod).to_bytes(2, "little").decode("latin-1")
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", records).text(path)
+    for k in sorted({r["k"] for r in docs.select(size_class().alias("k")).distinct().collect()} | {0}):
+        rows = docs.where(size_class() == k).select(F.col("text").cast("string")).mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
+        rows.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", records(k, file)).text(f"{path}/size-{k}")
 
 
 def summaries(data: bytes, eod: int = EOD, block: int = BLOCK):
@@ -65,7 +80,7 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) ->
                 cols = [pa.array([file] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5)), pa.array([r[5] for r in rows], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["file", "block", "n", "head", "tail", "seps", "inner"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     parts = files.mapInArrow(run, SUMMARY)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("block") * block
@@ -78,11 +93,27 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) ->
     open_ = F.when(F.col("next").isNull() & (base + F.col("n") > begun), F.array(F.struct((base + F.col("n") - begun).alias("n_tokens"), F.lit(False).alias("ended"))))
     none = F.array().cast("array<struct<n_tokens:bigint,ended:boolean>>")
     found = F.concat(F.when(F.col("seps") > 0, F.concat(F.array(first), rest)).otherwise(none), F.coalesce(open_, none))
-    shard = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"^part-(\d+)-.*?(c\d+)\..*$", "$1-$2")
+    shard = F.regexp_replace("file", r"^.*/size-(\d+)/part-(\d+)-[^/]*?-c(\d+)[^/]*$", "$1-$2-$3")
     return parts.select(shard.alias("shard"), "done", F.posexplode(found).alias("i", "d")).select("shard", (F.col("done") + F.col("i")).alias("ordinal"), F.col("d.n_tokens").alias("n_tokens"), F.col("d.ended").alias("ended"))
 
 
+def counts(docs: DataFrame, path: str, eod: int = EOD, block: int = BLOCK, file: int = FILE) -> DataFrame:
+    """doc_id, n_tokens, shard, ordinal of the documents whose tokens write() put under path."""
+    kind = size_class()
+    placed = []
+    for k in range(len(CLASSES) + 1):
+        rows = docs.where(kind == k).select(F.col("doc_id").cast("long"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
+        most = records(k, file)
+        shard = F.format_string(f"{k}-%05d-%03d", "task", F.floor(F.col("at") / most))
+        placed.append(rows.select("doc_id", shard.alias("shard"), (F.col("at") % most).alias("ordinal")))
+    own = placed[0]
+    for more in placed[1:]:
+        own = own.unionAll(more)
+    found = scan(docs.sparkSession, path, eod, block).select("shard", "ordinal", "n_tokens")
+    return own.join(found, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "tokens")
-    write(table(spark, sf_dir, "documents"), path, *bpe.vocabulary())
-    return scan(spark, path)
+    docs, path = table(spark, sf_dir, "documents"), shared_dir(spark, "tokens")
+    write(docs, path, *bpe.vocabulary())
+    return counts(docs, path)

@@ -1,9 +1,14 @@
 """WARC archives: write captures as response or revisit, request and metadata records; read archives back; assemble captures.
 
 Writing goes through Spark's own text sink with the record terminator CRLF CRLF as line separator, so an archive is an
-ordinary WARC/1.1 file on whatever file system Spark writes to. Reading walks each archive by Content-Length, so payloads
-may hold any bytes, blank lines and record markers included. Archives hold at most RECORDS captures each, which bounds the
-memory of a reading task. Transactions are assembled by grouping records on concurrent-to (a response names itself).
+ordinary WARC/1.1 file on whatever file system Spark writes to. Captures are written by size class, each with as many in an archive
+as fit ARCHIVE bytes, so that an archive is never much larger than that unless one capture is. Reading walks each archive by
+Content-Length, so payloads may hold any bytes, blank lines and record markers included; what a task holds is bounded by the
+archives' size. Transactions are assembled by grouping records on concurrent-to (a response names itself).
+
+Foreign archives: gzip members, header names in any case, folded headers, records without a content type and blocks that aren't
+HTTP are read; a record that can't be (no length, torn header or block, bad gzip) becomes a row with `error`, after which reading goes
+on at the next record marker.
 
 Cases: null html is the empty payload; null url becomes urn:none; a null page_id keeps a record id of its own; equal
 payloads of at least 1000 bytes are stored once, by the row with the largest page_id (repeated rows of that page_id are
@@ -14,6 +19,8 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +30,11 @@ from folio.llm.common import shared_dir, small, table, written
 
 CRLF = "\r\n"
 END = CRLF + CRLF
-#: Captures in one archive, at most.
-RECORDS = 2000
+#: Bytes of an archive, about, and payload sizes of the classes that are written apart (larger captures have an archive each).
+ARCHIVE, CLASSES = 32 << 20, (8 << 10, 64 << 10, 1 << 20, 8 << 20)
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
-RECORD = "kind string, record_id string, concurrent_to string, uri string, refers_to string, stated_digest string, stated_bytes long, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
+RECORD = "kind string, record_id string, concurrent_to string, uri string, refers_to string, stated_digest string, stated_bytes long, payload_bytes long, payload_digest string, fields map<string,string>, payload binary, error string"
 
 
 def _headers(*pairs: tuple[str, F.Column | str]) -> F.Column:
@@ -46,8 +53,8 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return base.join(small(groups, groups.count()), ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))).drop("top")
 
 
-def write(planned: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records: int = RECORDS) -> None:
-    """Archives of what plan() returns, three records a capture."""
+def write(planned: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", archive: int = ARCHIVE) -> None:
+    """Archives of what plan() returns, three records a capture, in a folder for each size class that has captures."""
     ident = lambda part: F.concat(F.lit("<urn:folio:page:"), part, F.lit(">"))
     own = ident(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string"))))
     # control characters can't stand in a header
@@ -64,49 +71,105 @@ def write(planned: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", rec
     told = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = F.concat(_headers(("WARC-Type", "metadata"), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))), ("WARC-Concurrent-To", own), common[0], common[1], ("Content-Type", "application/warc-fields"), size(told)), told)
     value = F.concat(F.when(revisit, again).otherwise(response), block, F.lit(END), request, F.lit(END), metadata)
-    planned.select(value.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
-
-
-def parse(data: bytes, payload: bool = False) -> list[dict]:
-    """The records of one archive, in order."""
-    out, at = [], 0
+    # a revisit has no payload in it
+    sizes = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0)
+    kind = sum((F.when(sizes > most, 1).otherwise(0) for most in CLASSES), F.lit(0))
+    found = {r["k"] for r in planned.select(kind.alias("k")).distinct().collect()} | {0}
+    for k in sorted(found):
+        most = max(1, archive // CLASSES[k]) if k < len(CLASSES) else 1
+        planned.where(kind == k).select(value.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(f"{path}/size-{k}")
+
+
+def unpacked(data: bytes) -> tuple[bytes, str | None]:
+    """The bytes of an archive, out of its gzip members if it is packed, and what was wrong with them."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data, None
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            return b"".join(out), "bad gzip member"
+        if not member.eof:
+            return b"".join(out), "torn gzip member"
+        data = member.unused_data
+    return b"".join(out), None
+
+
+def headers(block: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; folded lines belong to the one before, lines without a colon to none."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", block.decode("utf-8", "replace")).splitlines()
+    return {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines[1:]) if colon}
+
+
+def record(head: dict[str, str], block: bytes, payload: bool) -> dict:
+    row = dict.fromkeys(x.split(" ")[0] for x in RECORD.split(", "))
+    digest = head.get("warc-payload-digest", "")
+    row |= {"kind": head.get("warc-type", "").lower() or None, "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "uri": head.get("warc-target-uri"), "refers_to": head.get("warc-refers-to"), "stated_digest": digest.removeprefix("sha1:") or None}
+    kind, body = head.get("content-type", "").lower(), None
+    if kind.startswith("application/http"):
+        cut = block.find(b"\r\n\r\n")
+        if cut < 0:
+            row["error"] = "no http header"
+        http = headers(block[:cut] if cut >= 0 else block)
+        stated = http.get("content-length", "")
+        row["stated_bytes"] = int(stated) if stated.isdecimal() else None
+        body = block[cut + 4 :] if cut >= 0 else block
+    elif row["kind"] == "metadata":
+        row["fields"] = list({k.strip(): v.strip() for k, colon, v in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines()) if colon}.items())
+    else:
+        body = block
+    if row["kind"] in ("response", "resource") and body is not None:
+        row |= {"payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest(), "payload": body if payload else None}
+    return row
+
+
+def parse(data: bytes, payload: bool = False):
+    """The records of one archive, in order; errors are rows too."""
+    bad = lambda why: dict.fromkeys(x.split(" ")[0] for x in RECORD.split(", ")) | {"error": why}
+    data, wrong = unpacked(data)
+    at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:])
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        block = data[start:stop]
-        row = {"kind": head["WARC-Type"], "record_id": head["WARC-Record-ID"], "concurrent_to": head.get("WARC-Concurrent-To"), "uri": head.get("WARC-Target-URI"), "refers_to": head.get("WARC-Refers-To"), "stated_digest": head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, "fields": None, "stated_bytes": None, "payload_bytes": None, "payload_digest": None, "payload": None}
-        if head["Content-Type"].startswith("application/http"):
-            cut = block.index(b"\r\n\r\n") + 4
-            http = dict(x.split(": ", 1) for x in block[:cut].decode("utf-8", "replace").split(CRLF)[1:] if ": " in x)
-            row["stated_bytes"] = int(http["Content-Length"]) if "Content-Length" in http else None
-            if row["kind"] == "response":
-                body = block[cut:]
-                row |= {"payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest(), "payload": body if payload else None}
-        elif row["kind"] == "metadata":
-            row["fields"] = [tuple(x.split(": ", 1)) for x in block.decode("utf-8", "replace").split(CRLF) if ": " in x]
-        out.append(row)
-        at = stop + 4
-    return out
+        if data[at : at + 2] == b"\r\n":
+            at += 2
+            continue
+        end = data.find(b"\r\n\r\n", at)
+        head = headers(data[at:end]) if end >= 0 else {}
+        size = head.get("content-length", "")
+        stop = end + 4 + int(size) if size.isdecimal() else -1
+        if end >= 0 and data.startswith(b"WARC/", at) and 0 <= stop <= len(data):
+            yield record(head, data[end + 4 : stop], payload)
+            at = stop
+            continue
+        yield bad("torn header" if end < 0 else "no record marker" if not data.startswith(b"WARC/", at) else "torn block" if stop > len(data) else "no length")
+        at = data.find(b"\r\nWARC/1.", at + 1)
+        if at < 0:
+            break
+        at += 2
+    if wrong:
+        yield bad(wrong)
 
 
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row per record of every archive under path; payload: with the bytes of responses."""
     fields = [f.split(" ")[0] for f in RECORD.split(", ")]
-    types = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    types = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = parse(data.as_py(), payload)
+                rows = list(parse(data.as_py(), payload))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(fields, types, strict=True)], fields)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return archives.select("content").mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: the response or revisit, its request and its metadata, joined by concurrent-to."""
+    """One nested row per capture: the response or revisit, its request and its metadata, joined by concurrent-to. Records that
+    could not be read, and those of no capture, have no row."""
+    records = records.where("error is null or kind is not null")
     capture = F.coalesce("concurrent_to", "record_id")
     main = F.col("kind").isin("response", "revisit")
     grouped = records.groupBy(capture.alias("capture_id")).agg(

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folio.llm import bpe, chat, decontaminate, jaccard, langid, neighbours, secrets, tokencount, toxicity, warc
-from folio.llm.common import shared_dir
+from folio.llm.common import shared_dir, written
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau".split()
@@ -348,7 +348,7 @@ def test_warc(spark):
     rows = [(1, "u", big), (2, "u v\r\nX: y", big), (3, None, big), (4, "u", None), (5, "u", odd), (6, "u", "s"), (7, "u", "s"), (None, "u", "n"), (3, None, big), (8, "u", "é😀" * 400)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload_digest string")
     path = shared_dir(spark, "warc-test")
-    warc.write(warc.plan(pages), path, records=3)
+    warc.write(warc.plan(pages), path, archive=3 * warc.CLASSES[0])
     got = warc.assemble(warc.read(spark, path, payload=True)).collect()
     assert len(got) == len(rows)
     kinds = sorted((r["response"]["kind"], r["response"]["uri"]) for r in got)
@@ -361,6 +361,27 @@ def test_warc(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_foreign_archives():
+    import gzip
+
+    def rec(head, block, size=None):
+        return b"WARC/1.0\r\n" + head + b"Content-Length: %d\r\n\r\n" % (len(block) if size is None else size) + block + b"\r\n\r\n"
+
+    info = rec(b"WARC-Type: warcinfo\r\nWARC-Record-ID: <a>\r\n", b"software: x")
+    page = rec(b"warc-type: response\r\nWARC-Record-ID: <b>\r\nWARC-Target-URI:\r\n  http://x\r\nContent-Type: application/http\r\n", b"HTTP/1.1 200 OK\r\nA: b\r\n c\r\n\r\nbody\r\n\r\nWARC/1.0\r\n")
+    odd = rec(b"WARC-Type: response\r\nWARC-Record-ID: <c>\r\nContent-Type: application/http\r\n", b"not http")
+    torn = rec(b"WARC-Type: response\r\nWARC-Record-ID: <d>\r\nContent-Type: text/plain\r\n", b"short", 999)
+    rows = list(warc.parse(info + page + odd))
+    assert [(r["kind"], r["record_id"], r["error"]) for r in rows] == [("warcinfo", "<a>", None), ("response", "<b>", None), ("response", "<c>", "no http header")]
+    assert rows[1]["uri"] == "http://x" and rows[1]["payload_bytes"] == len(b"body\r\n\r\nWARC/1.0\r\n")
+    assert [r["error"] for r in warc.parse(torn)] == ["torn block"] and [r["error"] for r in warc.parse(b"WARC/1.0\r\nWARC-Type: x\r\n")] == ["torn header"]
+    assert [(r["record_id"], r["error"]) for r in warc.parse(b"junk\r\n" + info)] == [(None, "no record marker"), ("<a>", None)]
+    assert [(r["record_id"], r["error"]) for r in warc.parse(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n" + info)] == [(None, "no length"), ("<a>", None)]
+    packed = gzip.compress(info) + gzip.compress(page)
+    assert [r["record_id"] for r in warc.parse(packed)] == ["<a>", "<b>"]
+    assert [r["error"] for r in warc.parse(packed[:-20])] [-1] == "torn gzip member" and list(warc.parse(b"")) == []
+
+
 def test_langid(spark):
     p = langid.op8_langid(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     assert (p.lang_pred == p.lang)[p.held_out].mean() >= 0.97
@@ -437,13 +458,20 @@ def test_langid_equals_brute_force(spark):
 
 def test_token_counts(spark, codec):
     lib, path = by_library(codec), shared_dir(spark, "tokens-test")
-    tokencount.write(documents(spark, TEXTS), path, *bpe.vocabulary(), records=3)
-    want = sorted(len(lib.encode_ordinary(t or "")) for _, t in TEXTS)
+    texts = TEXTS + [(70 + i, "x" * i) for i in range(9)]
+    docs = written(documents(spark, texts), "tokens-table")
+    file = 3 * (2 * tokencount.CLASSES[0] + 2)
+    tokencount.write(docs, path, *bpe.vocabulary(), file=file)
+    want = sorted(((i, len(lib.encode_ordinary(t or ""))) for i, t in texts), key=str)
     for block in (3, 64, 1 << 20):
         got = tokencount.scan(spark, path, block=block).toPandas()
-        assert sorted(got.n_tokens) == want and got.ended.all()
+        assert sorted(got.n_tokens) == sorted(n for _, n in want) and got.ended.all()
+        assert sorted(map(tuple, tokencount.counts(docs, path, block=block, file=file).select("doc_id", "n_tokens").collect()), key=str) == want
     ids = np.array([5, 6, 50256, 50256, 7], "<u2").tobytes()
     assert [x[1:5] for x in tokencount.summaries(ids, block=2)] == [(2, 2, 2, 0), (2, 0, 0, 2), (1, 1, 1, 0)]
+    empty = shared_dir(spark, "tokens-test")
+    tokencount.write(docs.limit(0), empty, *bpe.vocabulary())
+    assert tokencount.counts(docs.limit(0), empty).count() == 0
 
 
 def words(text):
