@@ -12,9 +12,14 @@ PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 LIMIT = 10**12
 
 
+def stripped(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def to_decimal(text: Column) -> Column:
     """Strict plain decimal after a strip, else null: no exponent, no sign of currency, no grouping."""
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    t = stripped(text)
     return F.when(t.rlike(PLAIN), t.try_cast("decimal(38,6)"))
 
 
@@ -24,12 +29,12 @@ def usable(amount: Column) -> Column:
 
 def minor_units(code: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in MINOR_UNITS.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.upper(F.trim(code))), F.lit(DEFAULT_MINOR_UNIT))
+    return F.coalesce(F.try_element_at(table, F.upper(stripped(code))), F.lit(DEFAULT_MINOR_UNIT))
 
 
 def currency_key(code: Column) -> Column:
     """Group key of a currency: stripped, upper case, blank or null as unknown."""
-    return F.coalesce(F.nullif(F.upper(F.trim(code)), F.lit("")), F.lit("unknown currency"))
+    return F.coalesce(F.nullif(F.upper(stripped(code)), F.lit("")), F.lit("unknown currency"))
 
 
 def fits_minor_unit(amount: Column, n: int) -> Column:
@@ -55,11 +60,6 @@ def model_cost(inp: Column, write: Column, read: Column, out: Column, price_in:
     return ((used * d(price_in) + out.cast("decimal(18,2)") * d(price_out)) / F.lit(1_000_000)).cast("decimal(18,6)")
 
 
-def long_digit_run(text: Column) -> Column:
-    """Thirteen digits in a run (single blanks or dashes allowed between), or five in a row."""
-    return text.rlike(r"\d{5}") | text.rlike(r"(\d[ -]?){12}\d")
-
-
 def escape_markup(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

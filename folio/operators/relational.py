@@ -85,10 +85,35 @@ def on_calendar(days: DataFrame, *daily: DataFrame) -> DataFrame:
 
 
 def nearest_rank(column: str, p: float) -> Column:
-    """Exact nearest-rank percentile: the value at ceil(p n)."""
+    """Exact nearest-rank percentile: the value at ceil(p n). One task holds a group's distinct values: see ranked_values."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
+def rank_of(p: str) -> Column:
+    """The nearest rank of a share of n rows."""
+    return F.greatest(F.ceil(F.col("n") * F.lit(p).cast("decimal(6,4)")), F.lit(1)).cast("long")
+
+
+def ranked_values(df: DataFrame, key: str, value: str, ranks: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """key, n and, for each name, the value at a rank (from 1, a Column of n) among the group's values that aren't null.
+
+    Groups of any size: values are counted in bins of equal width, only those of the bins that hold a wanted rank are looked at,
+    and equal ones are counted first; so no task holds a group.
+    """
+    known = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    span = known.groupBy(key).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n"))
+    share = (F.col("_v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double")
+    binned = known.join(span, key).select(key, "_v", F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))).cast("int").alias("_bin"))
+    upto = Window.partitionBy(key).orderBy("_bin")
+    counts = binned.groupBy(key, "_bin").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+    asked = span.select(key, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.alias("rank")) for name, rank in ranks.items()))).alias("w")).select(key, "w.name", "w.rank")
+    spots = asked.join(counts, key).where("_upto - _c < rank AND rank <= _upto").select(key, "name", "_bin", (F.col("rank") - F.col("_upto") + F.col("_c")).alias("_r"))
+    inside = binned.join(spots, [key, "_bin"]).groupBy(key, "name", "_r", "_v").agg(F.count("*").alias("_c"))
+    inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(key, "name").orderBy("_v"))).where("_upto >= _r")
+    found = inside.groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks))
+    return span.select(key, "n").join(found, key)
+
+
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], key: Sequence[str], k: int = 60) -> DataFrame:
     """Ranked lists (key, id, rank) fused: sum of 1 / (k + rank); ties keep the order of the first list that has the id."""
     tagged = [d.select(*key, "id", "rank", F.lit(i).alias("_list")) for i, d in enumerate(lists)]

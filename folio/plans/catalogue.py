@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import masking
 from folio.functions import money as M
 from folio.operators import relational as R
+from folio.operators import search as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,9 +243,9 @@ def jn_positional_zip(t):
 
 @query("SELECT a.doc_id AS doc_id, b.doc_id AS twin FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang AND a.doc_id < b.doc_id")
 def jn_twin_cells(t):
-    d = t.documents.select("doc_id", "text", "lang")
-    e = d.withColumnRenamed("doc_id", "twin")
-    return d.join(e, ["text", "lang"]).where("doc_id < twin").select("doc_id", "twin")
+    # whole texts stay where they are; digests and lengths are joined
+    d = t.documents.where("text is not null and lang is not null").select("doc_id", F.struct(F.sha2("text", 256), F.length("text"), "lang").alias("same"))
+    return d.join(d.withColumnRenamed("doc_id", "twin"), "same").where("doc_id < twin").select("doc_id", "twin")
 
 
 # aggregations
@@ -258,7 +260,18 @@ def ag_status_zero_filled(t):
 @query("""SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS cost,
 round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def ag_rollup_p50_p95(t):
-    return t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"), dbl(F.sum(dec("value", 6))).alias("cost"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    rows = t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("rows"), dbl(F.sum(dec("value", 6))).alias("cost"))
+    return rows.join(interpolated(t.events, "event_type", "value", {"p50": "0.5", "p95": "0.95"}), "event_type").select("event_type", "users", F.col("rows").alias("n"), "cost", "p50", "p95")
+
+
+def interpolated(df: DataFrame, key: str, value: str, shares: dict[str, str]) -> DataFrame:
+    """Percentiles between the two nearest ranks, to six places."""
+    spot = lambda p: (F.col("n") - 1) * F.lit(p).cast("double")
+    low = {f"{name}_low": F.floor(spot(p)).cast("long") + 1 for name, p in shares.items()}
+    high = {f"{name}_high": F.ceil(spot(p)).cast("long") + 1 for name, p in shares.items()}
+    found = R.ranked_values(df, key, value, low | high)
+    part = lambda name, p: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (spot(p) - F.floor(spot(p)))
+    return found.select(key, *(F.round(part(name, p), 6).alias(name) for name, p in shares.items()))
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS answered, count(*) FILTER (WHERE event_type = 'error') AS failed,
@@ -368,21 +381,23 @@ def ag_doc_facts(t):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def ag_nearest_rank(t):
-    return t.events.groupBy("event_type").agg(*(R.nearest_rank("value", p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    return R.ranked_values(t.events, "event_type", "value", {n: R.rank_of(p) for n, p in (("p50", "0.5"), ("p95", "0.95"), ("p99", "0.99"))}).drop("n")
 
 
 @query("SELECT event_type, count(*) AS n, min(value) AS low, round(avg(CAST(value AS DECIMAL(18,6))), 4) AS mean, max(value) AS high, quantile_disc(value, 0.1) AS q10, quantile_disc(value, 0.25) AS q25, quantile_disc(value, 0.75) AS q75, quantile_disc(value, 0.9) AS q90 FROM events GROUP BY 1")
 def ag_quantile_set(t):
     mean = F.round(dbl(F.sum(dec("value", 6))) / F.count("*"), 4)
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), mean.alias("mean"), F.max("value").alias("high"), *(R.nearest_rank("value", p).alias(f"q{round(p * 100)}") for p in (0.1, 0.25, 0.75, 0.9)))
+    rows = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), mean.alias("mean"), F.max("value").alias("high"))
+    ranks = R.ranked_values(t.events, "event_type", "value", {f"q{p[2:]:0<2}": R.rank_of(p) for p in ("0.1", "0.25", "0.75", "0.9")})
+    return rows.join(ranks.drop("n"), "event_type")
 
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE user_id % 10 = 0) AS errors, CAST(count(*) FILTER (WHERE user_id % 10 = 0) AS DOUBLE) / count(*) AS error_rate,
 quantile_disc(value, 0.95) FILTER (WHERE user_id % 10 <> 0) AS p95 FROM events GROUP BY 1""")
 def ag_endpoint_stats(t):
     bad = F.col("user_id") % 10 == 0
-    rows = t.events.withColumn("ok", F.when(~bad, F.col("value")))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(bad).alias("errors"), F.expr("cast(count_if(user_id % 10 = 0) as double) / count(*)").alias("error_rate"), R.nearest_rank("ok", 0.95).alias("p95"))
+    rows = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(bad).alias("errors"), F.expr("cast(count_if(user_id % 10 = 0) as double) / count(*)").alias("error_rate"))
+    return rows.join(R.ranked_values(t.events.where(~bad), "event_type", "value", {"p95": R.rank_of("0.95")}).drop("n"), "event_type", "left")
 
 
 @query("""WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
@@ -458,10 +473,9 @@ def win_rank_total_order(t):
 @query("""WITH r AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(ts) FILTER (WHERE i = CAST(ceil(n * 0.1) AS BIGINT)) AS t10, max(ts) FILTER (WHERE i = CAST(ceil(n * 0.9) AS BIGINT)) AS t90 FROM r GROUP BY 1""")
 def win_steady_window(t):
-    key = Window.partitionBy("event_type")
-    r = t.events.select("event_type", "ts", F.row_number().over(key.orderBy("ts", "event_id")).alias("i"), F.count("*").over(key).alias("n"))
-    mark = lambda p: F.max(F.when(F.col("i") == F.ceil(F.col("n") * F.lit(p).cast("decimal(3,1)")), F.col("ts")))
-    return r.groupBy("event_type").agg(mark("0.1").alias("t10"), mark("0.9").alias("t90"))
+    at = t.events.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = R.ranked_values(at, "event_type", "at", {"a": R.rank_of("0.1"), "b": R.rank_of("0.9")})
+    return found.select("event_type", *(F.timestamp_micros(c).cast("timestamp_ntz").alias(n) for c, n in (("a", "t10"), ("b", "t90"))))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -600,9 +614,9 @@ def txt_chunk_invariant(t):
     return t.documents.select("doc_id", F.length("text").cast("bigint").alias("n"), (F.col("n_chars") == F.length("text")).alias("intact"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '[0-9]{5}') OR regexp_matches(text, '([0-9][ -]?){12}[0-9]') AS long_run FROM documents")
+@query("SELECT doc_id, regexp_matches(text, '\\p{Nd}{5}') OR regexp_matches(text, '(\\p{Nd}[ \\t\\x{00a0}\\x{2009}\\x{202f}.-]*){12}\\p{Nd}') AS long_run FROM documents")
 def pii_long_run(t):
-    return t.documents.select("doc_id", M.long_digit_run(F.col("text")).alias("long_run"))
+    return t.documents.select("doc_id", masking.has_long_run(F.col("text")).alias("long_run"))
 
 
 @query("SELECT event_id, CAST(ts AS DATE) AS day FROM events", day="day")
@@ -659,22 +673,20 @@ def sc_field_of_path(t):
 
 # vectors, fusion, ranking metrics
 
-COS = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
+COS = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS id, label, ql, round(list_dot_product(qe::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(qe::DOUBLE[], qe::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 9) AS sim
       FROM q, embeddings WHERE vec_id <> query_id),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim > 0)
 """
 
 
-def nearest(t: Tables, k: int, every: int = 50) -> DataFrame:
-    """The k nearest by cosine of a stated query set (ids divisible by `every`), in a total order; the query side is a fixed share of the table and is
-    only broadcast while it is small."""
-    e = t.embeddings
-    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id"))
-    sims = pairs.select("query_id", F.col("vec_id").alias("id"), "label", "ql", F.round(R.cosine(F.col("qe"), F.col("embedding")), 9).alias("sim")).where("sim > 0")
-    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def nearest(t: Tables, k: int, every: int = 20) -> DataFrame:
+    """The k nearest by cosine of a stated query set (ids divisible by `every`), in a total order."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label", F.lit("own").alias("model"))
+    asked = e.where(F.col("id") % every == 0)
+    found = S.cosine_topk(e, asked, k)
+    named = e.select("id", "label")
+    return found.join(named, "id").join(named.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id")
 
 
 @query(COS + "SELECT query_id, id, rank, sim FROM d WHERE rank <= 10")
@@ -689,7 +701,7 @@ f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, min(l * 1000 + rank)
 """
 
 
-def fused(t: Tables, every: int = 50) -> DataFrame:
+def fused(t: Tables, every: int = 20) -> DataFrame:
     q = t.embeddings.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"))
     near = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 15, F.col("query_id") + 15)).alias("id")).where("id <> query_id").join(t.embeddings.select(F.col("vec_id").alias("id")), "id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id")))
@@ -713,7 +725,7 @@ e AS (SELECT query_id, CAST(hits AS DOUBLE) / n AS recall, coalesce(1.0 / first,
 """
 
 
-def metrics(t: Tables, every: int = 50) -> DataFrame:
+def metrics(t: Tables, every: int = 20) -> DataFrame:
     e = t.embeddings
     q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     sizes = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n"))

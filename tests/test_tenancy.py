@@ -16,6 +16,11 @@ def test_scopes(spark, tmp_path):
     raw = spark.read.schema(TABLES["documents"]).parquet(f"{tmp_path}/documents")
     with pytest.raises(TenantScopeError):
         assert_scoped(raw.select("id", "organization_id"), "acme")
+    # two filters on one scan don't excuse another; an alternative is no filter; a join of scoped tables is fine
+    for bad in (df.where("organization_id = 'acme'").unionAll(raw), raw.where("organization_id = 'acme' or id = '2'"), df.join(raw.select("id"), "id")):
+        with pytest.raises(TenantScopeError):
+            assert_scoped(bad, "acme")
+    assert_scoped(df.join(scope.table("jobs").select("id"), "id"), "acme")
     with pytest.raises(TenantScopeError):
         TenantScope(spark, str(tmp_path), None)
     with pytest.raises(TenantScopeError):
