@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import json
 import random
 
@@ -103,3 +106,25 @@ def test_writers(spark, tmp_path):
     assert shown() == [("a", 7), ("b", 2)]
     assert [writers.write_once(spark, "{}", str(tmp_path), "run").rsplit("/", 1)[1] for _ in range(3)] == ["run.json", "run-2.json", "run-3.json"]
     assert writers.spliced("x<s>old<e>y", "new", "<s>", "<e>") == "x<s>\nnew\n<e>y"
+
+
+def test_commits(spark, tmp_path):
+    base = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "document_id string, n int")
+    writers.replace_documents(make([(f"d{i}", i) for i in range(300)]), base)
+    number, before = writers.head(spark, base)
+    writers.replace_documents(make([("d7", 70)]), base)
+    _, after = writers.head(spark, base)
+    assert sum(before[b] != after[b] for b in before) == 1 and number == 1  # one bucket was rewritten
+    assert writers.current(spark, base).agg({"n": "sum"}).first()[0] == sum(range(300)) + 63
+    with pytest.raises(writers.ConflictingCommit):
+        writers.commit(spark, base, number, before)
+    gone = writers.vacuum(spark, base)
+    assert gone == ["_commits/000000000001"] and writers.current(spark, base).count() == 300
+
+
+def test_harvest(spark, tmp_path):
+    labels = spark.createDataFrame([(1, "approved", 5), (2, "approved", None), (3, "corrected", -1)], "doc_id int, status string, total int")
+    out = writers.harvest(labels, {"total": F.col("total").isNotNull(), "positive": F.col("total") > 0}, str(tmp_path / "h"))
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(2, ["positive", "total"]), (3, ["positive"])]
+    assert [r["doc_id"] for r in spark.read.json(str(tmp_path / "h")).collect()] == [1]
