@@ -4,9 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from folio.plans import catalogue, document_model, documents
+from folio.plans import catalogue, document_model, documents, evaluation
 
-QUERIES, ORACLE = catalogue.QUERIES | documents.QUERIES | document_model.QUERIES, catalogue.ORACLE | documents.ORACLE | document_model.ORACLE
+QUERIES, ORACLE = catalogue.QUERIES | documents.QUERIES | document_model.QUERIES | evaluation.QUERIES, catalogue.ORACLE | documents.ORACLE | document_model.ORACLE | evaluation.ORACLE
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
