@@ -91,3 +91,36 @@ def byte_size(text: Column) -> Column:
     exponent = F.array_position(F.array(*map(F.lit, "KMGT")), F.upper(F.regexp_extract(text, pattern, 2)))
     base = F.when(F.regexp_extract(text, pattern, 3) == "i", 1024.0).otherwise(1000.0)
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast("double") * F.pow(base, exponent))
+
+
+def questions(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """Questions with the documents they name (doc_ids); a repeated id, or a document that isn't known, is an error."""
+    rows = spark.read.schema("questions array<struct<id: string, question: string, doc_ids: array<string>, numbers: array<decimal(18,2)>, abstain: boolean>>").option("multiLine", True).json(path).selectExpr("inline(questions)")
+    _refuse(rows.groupBy("id").count().where("count > 1").select("id"), "repeated questions")
+    named = rows.select("id", F.explode("doc_ids").alias("doc_id"))
+    _refuse(named.join(known.select("doc_id").distinct(), "doc_id", "left_anti").select(F.concat_ws(" of ", "doc_id", "id")), "unknown documents")
+    return rows
+
+
+def calibration(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """Answers that people judged: id, question_id, answer, human_correct, human_grounded; one to an unknown question is an error."""
+    rows = spark.read.schema("items array<struct<id: string, question_id: string, answer: string, human_correct: boolean, human_grounded: boolean, note: string>>").option("multiLine", True).json(path).selectExpr("inline(items)")
+    _refuse(rows.join(asked.select(F.col("id").alias("question_id")).distinct(), "question_id", "left_anti").select("id"), "answers to unknown questions")
+    return rows
+
+
+def suite_runs(spark: SparkSession, folder: str, schema: str, required: Sequence[str]) -> DataFrame:
+    """Run files of another suite by start: unreadable ones, and those without a required field, are left out."""
+    rows = spark.read.schema(f"started_at_utc string, model string, {schema}, _corrupt_record string").option("multiLine", True).json(folder).withColumn("file", F.input_file_name())
+    kept = rows.where("_corrupt_record IS NULL AND started_at_utc IS NOT NULL")
+    for name in required:
+        kept = kept.where(F.col(name).isNotNull())
+    return kept.drop("_corrupt_record").orderBy("started_at_utc", "file")
+
+
+def container_stats(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Lines name|cpu%|used / limit of a container sampler: name, cpu (percent), used, most (bytes); others are dropped."""
+    parts = F.split(F.col(line), r"\|")
+    memory = F.split(F.try_element_at(parts, F.lit(3)), r"\s*/\s*")
+    rows = lines.select(F.trim(F.get(parts, 0)).alias("name"), F.regexp_extract(F.try_element_at(parts, F.lit(2)), r"^\s*([0-9.]+)%\s*$", 1).try_cast("double").alias("cpu"), byte_size(F.get(memory, 0)).alias("used"), byte_size(F.try_element_at(memory, F.lit(2))).alias("most"))
+    return rows.where("name <> '' AND cpu IS NOT NULL AND used IS NOT NULL AND most IS NOT NULL")
