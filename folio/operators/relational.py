@@ -59,6 +59,11 @@ def any_item(items: Column, test) -> Column:
     return F.when(items.isNull(), F.lit(False)).otherwise(F.exists(items, test))
 
 
+def truth_rank(test: Column) -> Column:
+    """2 for TRUE, 1 for unknown, 0 for FALSE: the largest of a group answers whether any of it passes."""
+    return F.when(test, 2).when(test.isNull(), 1).otherwise(0)
+
+
 def currency_totals(rows: DataFrame, currency: str, total: str) -> DataFrame:
     """Per currency: matching documents, documents without a usable total, exact sum (null where none has one)."""
     good = usable(F.col(total))

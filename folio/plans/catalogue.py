@@ -110,9 +110,11 @@ WITH i AS (SELECT l_orderkey, max(CASE WHEN l_linenumber % 5 = 0 THEN 1 WHEN con
            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT CASE rank WHEN 2 THEN 'true' WHEN 1 THEN 'unknown' ELSE 'false' END AS verdict, count(*) AS n FROM i GROUP BY 1""")
 def fq_item_any(t):
-    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_linenumber") % 5 != 0, F.col("p_name")).alias("description"))).alias("items"))
-    test = R.any_item(F.col("items"), lambda x: F.lower(x["description"]).contains("red"))
-    return items.select(F.when(test, "true").when(test.isNull(), "unknown").otherwise("false").alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    # the largest rank of an order's items, in a partial aggregate: TRUE over unknown over FALSE
+    name = F.when(F.col("l_linenumber") % 5 != 0, F.col("p_name"))
+    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", R.truth_rank(F.lower(name).contains("red")).alias("rank"))
+    verdict = F.get(F.array(*map(F.lit, ("false", "unknown", "true"))), F.max("rank"))
+    return items.groupBy("l_orderkey").agg(verdict.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -233,12 +235,15 @@ def jn_corr_scalar_latest(t):
     return t.customer.select("c_custkey").join(newest, "c_custkey", "left")
 
 
-@query("""WITH a AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p FROM lineitem GROUP BY 1)
-SELECT l_orderkey, i AS pos, q[i] AS quantity, p[i] AS part FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM a) WHERE i <= 2""")
+@query("""WITH a AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) FILTER (WHERE l_linenumber % 6 <> 0 AND CAST(l_tax AS DECIMAL(18,6)) <= 0.07) AS p FROM lineitem GROUP BY 1)
+SELECT l_orderkey, i AS pos, q[i] AS quantity, p[i] AS part FROM (SELECT *, unnest(range(1, least(len(q), coalesce(len(p), 0)) + 1)) AS i FROM a)""")
 def jn_positional_zip(t):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("r"))
-    zipped = rows.select("l_orderkey", F.posexplode(F.arrays_zip(F.transform("r", lambda x: x["l_quantity"]).alias("q"), F.transform(F.slice("r", 1, 2), lambda x: x["l_partkey"]).alias("p"))).alias("i", "z"))
-    return zipped.where("z.p is not null").select("l_orderkey", long(F.col("i") + 1).alias("pos"), F.col("z.q").alias("quantity"), F.col("z.p").alias("part"))
+    """The quantities of all lines of an order beside the parts of its lines whose check passes, by position; the shorter list wins."""
+    passed = F.coalesce((F.col("l_linenumber") % 6 != 0) & (dec("l_tax", 6) <= F.lit("0.07").cast("decimal(18,6)")), F.lit(False))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", passed.alias("passed")))).alias("r"))
+    lists = rows.select("l_orderkey", F.transform("r", lambda x: x["l_quantity"]).alias("q"), F.transform(F.filter("r", lambda x: x["passed"]), lambda x: x["l_partkey"]).alias("p"))
+    zipped = lists.select("l_orderkey", F.least(F.size("q"), F.size("p")).alias("n"), F.posexplode(F.arrays_zip("q", "p")).alias("i", "z"))
+    return zipped.where("i < n").select("l_orderkey", long(F.col("i") + 1).alias("pos"), F.col("z.q").alias("quantity"), F.col("z.p").alias("part"))
 
 
 @query("SELECT a.doc_id AS doc_id, b.doc_id AS twin FROM documents a JOIN documents b ON a.text = b.text AND a.lang = b.lang AND a.doc_id < b.doc_id")
@@ -329,17 +334,16 @@ idf AS (SELECT w, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, n)
 """
 
 
-def postings(t: Tables) -> DataFrame:
-    """Distinct query words of each document; only the wanted words leave the scan."""
-    ws = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), F.array(*map(F.lit, TERMS)))
-    return t.documents.select("doc_id", F.explode(ws).alias("w"))
+def wanted_words(t: Tables) -> DataFrame:
+    """Distinct query words of each document; only these leave the scan."""
+    return t.documents.select("doc_id", F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), F.array(*map(F.lit, TERMS))).alias("ws"))
 
 
 def idf(t: Tables) -> DataFrame:
-    total = t.documents.agg(F.count("*").alias("n"))
-    words = t.spark.createDataFrame([(w,) for w in TERMS], "w string")
-    df = words.join(postings(t).groupBy("w").agg(F.count("*").alias("df")), "w", "left").select("w", F.coalesce("df", F.lit(0)).alias("df"))
-    return df.crossJoin(F.broadcast(total)).select("w", "df", F.expr("ln((n - df + 0.5D) / (df + 0.5D) + 1)").alias("idf"))
+    """w, df, idf of the query words: documents and those that hold each word are counted in one pass."""
+    counts = [F.struct(F.lit(w).alias("w"), F.count_if(F.array_contains("ws", w)).alias("df")) for w in TERMS]
+    told = wanted_words(t).agg(F.count("*").alias("n"), F.array(*counts).alias("words"))
+    return told.select("n", F.explode("words").alias("x")).select("x.w", "x.df", F.expr("ln((n - x.df + 0.5D) / (x.df + 0.5D) + 1)").alias("idf"))
 
 
 @query(TOKENS + "SELECT w, df FROM df")
@@ -355,7 +359,7 @@ def lex_idf(t):
 @query(TOKENS + "SELECT doc_id, round(sum(idf ORDER BY w), 6) AS score FROM tok JOIN idf USING (w) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def lex_score_topk(t):
     # summed in the words' order, so that scores don't depend on partitioning
-    rows = postings(t).join(F.broadcast(idf(t)), "w").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "idf"))).alias("x"))
+    rows = wanted_words(t).select("doc_id", F.explode("ws").alias("w")).join(F.broadcast(idf(t)), "w").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "idf"))).alias("x"))
     score = F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x["idf"]), 6)
     return rows.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
@@ -493,10 +497,10 @@ def ordered_dedup(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
-@query("""WITH w AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE n_chars < 2000))),
+@query("""WITH w AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL))),
 f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY 1, 2) SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY 1""")
 def set_ordered_dedup(t):
-    return ordered_dedup(t.documents.where("n_chars < 2000"))
+    return ordered_dedup(t.documents.where("text is not null"))
 
 
 @query("""WITH a AS (SELECT o_custkey, array_agg(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1)
@@ -576,17 +580,17 @@ def rcl_review_queue(t):
     return R.paged(rows, [F.col("o_orderdate"), F.col("o_orderkey")], 50, 10).select("o_orderkey", "failing")
 
 
-def failing_checks(t: Tables, last: int | None = None) -> DataFrame:
-    """The failing checks of line_items of each order; with `last`, only those of lines up to it."""
+def failing_checks(t: Tables) -> DataFrame:
+    """The failing checks of line_items of each order."""
     path = F.concat(F.lit("line_items["), F.col("l_linenumber").cast("string"), F.lit("].total"))
     rows = checks(t).withColumn("path", path).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "status", "path"))).alias("checks"))
-    bad = F.filter("checks", lambda c: (c["status"] == "fail") & (M.field_of(c["path"]) == "line_items") & (F.lit(True) if last is None else c["l_linenumber"] <= last))
+    bad = F.filter("checks", lambda c: (c["status"] == "fail") & (M.field_of(c["path"]) == "line_items"))
     return rows.where(F.size(bad) > 0).select("l_orderkey", F.array_join(F.transform(bad, lambda c: c["l_linenumber"].cast("string")), ",").alias("failing"))
 
 
-@query(STATUS + "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS failing FROM ch WHERE status = 'fail' AND l_linenumber <= 3 GROUP BY 1")
+@query(STATUS + "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS failing FROM ch WHERE status = 'fail' GROUP BY 1")
 def rcl_failing_checks(t):
-    return failing_checks(t, last=3)
+    return failing_checks(t)
 
 
 # text
@@ -599,9 +603,9 @@ def line_windows(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", start.alias("char_start"), F.least(start + 200, F.col("n")).alias("char_end"), "chunk")
 
 
-@query("SELECT doc_id, s AS char_start, least(s + 200, n) AS char_end, substring(text, s + 1, least(s + 200, n) - s) AS chunk FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 120)) AS s FROM documents WHERE n_chars BETWEEN 1 AND 3000)")
+@query("SELECT doc_id, s AS char_start, least(s + 200, n) AS char_end, substring(text, s + 1, least(s + 200, n) - s) AS chunk FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 120)) AS s FROM documents WHERE text <> '')")
 def txt_long_line_windows(t):
-    return line_windows(t.documents.where("n_chars BETWEEN 1 AND 3000"))
+    return line_windows(t.documents)
 
 
 @query("SELECT doc_id, trim(regexp_extract(text, '[^\\n]*[^\\n ][^\\n]*')) || ' (page 1 of 1)' AS header FROM documents")
@@ -755,10 +759,10 @@ def ev_regression_compare(t):
     return both.select(F.coalesce("s0", "s1").alias("source"), F.when(F.col("b").isNull() | F.col("f").isNull(), "incomparable").when(F.col("f") < F.col("b") * 0.95, "regression").otherwise("ok").alias("verdict"))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE turn < 4 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+@query("SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 2")
 def ev_history(t):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return t.conversations.where("turn < 4").withColumn("n", F.row_number().over(w)).where("n <= 2").select("conv_id", "turn", "text")
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    return t.conversations.withColumn("n", F.row_number().over(w)).where("n <= 2").select("conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS used FROM conversations QUALIFY used <= 2000")

@@ -1,5 +1,4 @@
-"""Queries without SQL: those that SQL can't express, and whole jobs (names in _all) of queries whose SQL reads only a part.
-Tests hold their operators against brute force, or against that SQL without its filter."""
+"""Queries that SQL can't express, held against brute force by tests; and second names (in _all) of queries over whole tables."""
 
 from __future__ import annotations
 
@@ -74,14 +73,10 @@ def rcl_failing_checks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn_positional_zip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantities of all lines of an order beside the parts of its lines whose check passes, by position; two whole lists
-    of different length, of which the shorter wins."""
-    t = C.Tables(spark, sf_dir)
-    passed = (F.col("l_linenumber") % 6 != 0) & (C.dec("l_tax", 6) <= F.lit("0.07").cast("decimal(18,6)"))
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", F.coalesce(passed, F.lit(False)).alias("passed")))).alias("r"))
-    lists = rows.select("l_orderkey", F.transform("r", lambda x: x["l_quantity"]).alias("q"), F.transform(F.filter("r", lambda x: x["passed"]), lambda x: x["l_partkey"]).alias("p"))
-    zipped = lists.select("l_orderkey", F.least(F.size("q"), F.size("p")).alias("n"), F.posexplode(F.arrays_zip("q", "p")).alias("i", "z"))
-    return zipped.where("i < n").select("l_orderkey", C.long(F.col("i") + 1).alias("pos"), F.col("z.q").alias("quantity"), F.col("z.p").alias("part"))
+    return C.QUERIES["jn_positional_zip"](spark, sf_dir)
 
 
 QUERIES |= {"rcl_failing_checks_all": rcl_failing_checks_all, "jn_positional_zip_all": jn_positional_zip_all}
+
+#: The SQL of the queries that have a second name.
+ORACLE = {name: C.ORACLE[name.removesuffix("_all")] for name in QUERIES if name.endswith("_all")}

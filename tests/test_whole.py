@@ -1,29 +1,15 @@
-"""Whole jobs without SQL of their own: against brute force, or the SQL of the partial query without its filter."""
+"""Whole jobs against brute force."""
 
-import duckdb
 import pandas as pd
 
 from folio.plans import catalogue, custom
-from test_catalogue import DIR, TABLES, rows
+from test_catalogue import DIR
 
 
 def table(name):
     return pd.read_parquet(f"{DIR}/{name}.parquet")
 
 
-def same(spark, name, part, whole):
-    """custom's name_all equals the SQL of name once `part` of it is `whole`; the partial query has other rows."""
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
-    sql = catalogue.ORACLE[name]
-    assert part in sql
-    got, want = custom.QUERIES[f"{name}_all"](spark, DIR).toPandas(), con.execute(sql.replace(part, whole)).df()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns and rows(got, columns) == rows(want, columns)
-    assert rows(got, columns) != rows(con.execute(sql).df(), columns)
-
-
 def test_long_line_windows(spark):
     texts = [(1, "é\U0001f600\n" * 2000, None), (2, "", 0), (3, None, None), (4, "x" * 120, 120), (5, "y" * 121, 7), (6, "z" * 200_000, 1)]
     got = catalogue.line_windows(spark.createDataFrame(texts, "doc_id long, text string, n_chars long")).collect()
@@ -38,15 +24,6 @@ def test_ordered_dedup(spark):
     assert sorted(map(tuple, got)) == sorted((r.doc_id, " ".join(dict.fromkeys(r.text.split(" ")))) for r in table("documents").itertuples())
 
 
-def test_query_sets(spark):
-    for name in ("vec_cosine_topk", "hyb_rrf", "hyb_collapse_docs", "ev_recall_mrr_ndcg", "ev_hardest10"):
-        same(spark, name, "vec_id % 50 = 0", "vec_id % 20 = 0")
-
-
-def test_failing_checks(spark):
-    same(spark, "rcl_failing_checks", " AND l_linenumber <= 3", "")
-
-
 def test_positional_zip(spark):
     want, uneven = [], 0
     for key, own in table("lineitem").sort_values(["l_linenumber", "l_partkey", "l_quantity"]).groupby("l_orderkey"):
