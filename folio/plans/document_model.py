@@ -18,13 +18,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None):
-    """Registers a query, with its SQL if that can express it."""
+def query(sql: str):
+    """Registers a query with its SQL."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
         return f
 
     return add
@@ -151,35 +149,41 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.col("text"), F.lit("\n"), line).alias("text"))
 
 
+# a pattern without look-around takes the marks beside an amount along, so each of them is doubled first
+DOUBLED = r"regexp_replace(text, '([^0-9.,])', '\1\1', 'g')"
+EU_SQL = rf"list_transform(regexp_extract_all({DOUBLED}, '(?:^|[^0-9.,])((?:[0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]+),[0-9]{{2}})(?:$|[^0-9,])', 1), lambda m: replace(replace(m, '.', ''), ',', '.'))"
+US_SQL = rf"list_transform(regexp_extract_all({DOUBLED}, '(?:^|[^0-9.,])([0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]{{2}})?)(?:$|[^0-9,])', 1), lambda m: replace(m, ',', ''))"
+WORDS_SQL = r"""list_filter([CASE WHEN regexp_matches(text, '(?i)€|\bEUR\b|\beuros?\b') THEN 'euro' END, CASE WHEN regexp_matches(text, '(?i)\$|\bUSD\b|\bdollars?\b') THEN 'dollar' END,
+CASE WHEN regexp_matches(text, '(?i)£|\bGBP\b|\bpounds?\b') THEN 'pound' END], lambda x: x IS NOT NULL)"""
+STATES_SQL = r"""list_filter(list_transform(regexp_extract_all(text, '(?m),[ \t]*([A-Z]{2})(?:[ \t]+[0-9]{5}(?:-[0-9]{4})?)?[ \t]*$', 1), lambda c: CASE c WHEN 'MI' THEN 'michigan' WHEN 'OR' THEN 'oregon' END), lambda x: x IS NOT NULL)"""
 SAMPLE_SQL = "WITH t AS (SELECT doc_id, text || chr(10) || [" + ", ".join("'" + x + "'" for x in SAMPLES) + f"][1 + doc_id % {len(SAMPLES)}] AS text FROM documents)\n"
 
+
 def _joined(c: F.Column) -> F.Column:
     return F.array_join(c, "|")
 
 
-@query(None)
+@query(SAMPLE_SQL + f"SELECT doc_id, coalesce(array_to_string({EU_SQL}, '|'), '') AS amounts FROM t")
 def txt_eu_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", _joined(N.eu_amounts(F.col("text"))).alias("amounts"))
 
 
-@query(None)
+@query(SAMPLE_SQL + f"SELECT doc_id, coalesce(array_to_string({US_SQL}, '|'), '') AS amounts FROM t")
 def txt_us_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", _joined(N.us_amounts(F.col("text"))).alias("amounts"))
 
 
-@query(SAMPLE_SQL + r"""SELECT doc_id, concat_ws('|', CASE WHEN regexp_matches(text, '(?i)€|\bEUR\b|\beuros?\b') THEN 'euro' END, CASE WHEN regexp_matches(text, '(?i)\$|\bUSD\b|\bdollars?\b') THEN 'dollar' END,
-CASE WHEN regexp_matches(text, '(?i)£|\bGBP\b|\bpounds?\b') THEN 'pound' END) AS words FROM t""")
+@query(SAMPLE_SQL + f"SELECT doc_id, coalesce(array_to_string({WORDS_SQL}, '|'), '') AS words FROM t")
 def txt_currency_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", _joined(N.currency_words(F.col("text"))).alias("words"))
 
 
-@query(SAMPLE_SQL + r"""SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?m),[ \t]*([A-Z]{2})(?:[ \t]+[0-9]{5}(?:-[0-9]{4})?)?[ \t]*$', 1),
-lambda c: CASE c WHEN 'MI' THEN 'michigan' WHEN 'OR' THEN 'oregon' END), lambda c: c IS NOT NULL), '|'), '') AS states FROM t""")
+@query(SAMPLE_SQL + f"SELECT doc_id, coalesce(array_to_string({STATES_SQL}, '|'), '') AS states FROM t")
 def txt_city_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", _joined(N.state_names(F.col("text"))).alias("states"))
 
 
-@query(None)
+@query(SAMPLE_SQL + f", a AS (SELECT doc_id, {EU_SQL} || {US_SQL} || {WORDS_SQL} || {STATES_SQL} AS l FROM t) SELECT doc_id, nullif(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' '), '') AS aliases FROM a")
 def txt_dedup_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", N.search_aliases(F.col("text")).alias("aliases"))
 
