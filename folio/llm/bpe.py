@@ -30,7 +30,7 @@ LOW = np.int64((1 << 32) - 1)
 #: Pieces of at most so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
 #: Pieces a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -165,13 +165,13 @@ class ByteBPE:
             else:
                 classes.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for group in classes.values():
-            for i in range(0, len(group), 50_000):
-                part = group[i : i + 50_000]
+            for i in range(0, len(group), 10_000):
+                part = group[i : i + 10_000]
                 self.known.update(zip([p for p, _ in part], self.merge_many([r for _, r in part]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers, in order."""
-        for start, end in chunks(texts):
+        for start, end in chunks(texts, 1_000_000):
             split = [self.split(t) for t in texts[start:end]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()

@@ -104,7 +104,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n or more."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, n.bit_length())
+        size = 1 << max(19, n.bit_length())
         both = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
@@ -120,7 +120,7 @@ STEPS = mix(np.arange(11, 43, dtype=np.uint64) * MULT) | np.uint64(1)
 
 def shingle_sets(texts: list[str], words: int):
     """The sorted distinct shingle hashes of each text."""
-    for start, end in chunks(texts, 1_000_000):
+    for start, end in chunks(texts, 300_000):
         raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts[start:end]]
         ends = np.cumsum([len(r) + 1 for r in raw])
         a = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
@@ -195,14 +195,15 @@ def sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, dict[int, int]]:
     size = SKETCH // PARTS
 
     def count(batches):
-        total, sizes = np.zeros(SKETCH, np.int64), np.zeros(2 * SMALLEST, np.int64)
+        total, sizes, one = np.zeros(SKETCH, np.uint32), np.zeros(2 * SMALLEST, np.int64), np.uint32(1)
         for batch in batches:
             for s in shingle_sets(_texts(batch), rule.words):
                 if len(s) < 2 * SMALLEST:
                     sizes[len(s)] += 1
-                np.add.at(total, s & np.uint64(SKETCH - 1), 1)
+                np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.intp), one)
         parts = [np.minimum(p, 0xFF).astype("<u1").tobytes() for p in total.reshape(PARTS, size)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([1] * PARTS + [8], pa.int32()), pa.array([*parts, sizes.astype("<u8").tobytes()], pa.binary())], ["part", "width", "n"])
+        _powers.clear()
         tidy()
 
     def add(group: pa.Table) -> pa.Table:
@@ -250,6 +251,7 @@ def posted(docs: DataFrame, counts: np.ndarray, boundary: int, rule: Rule) -> Da
                 posts.append(lead.view(np.int64))
                 trail.append(rest.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, rid, chk)), *(pa.array(x, pa.list_(pa.int64())) for x in (posts, trail))], ["doc_id", "n", "rid", "chk", "posts", "trail"])
+        _powers.clear()
         tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rid long, chk long, posts array<long>, trail array<long>")
@@ -287,6 +289,7 @@ def sets_of(docs: DataFrame, rule: Rule, clashes: frozenset[int] = frozenset())
                         rids.append(rid)
                         sets.append(packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(sets, pa.binary())], ["rid", "elements"])
+        _powers.clear()
         tidy()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "rid long, elements binary")
@@ -305,6 +308,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                     a.append(x.as_py())
                     b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        _powers.clear()
         tidy()
 
     side = lambda name, e: sets.select(F.col("rid").alias(name), F.col("elements").alias(e))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import chunks, code_points, letters, remainder, table
+from folio.llm.common import chunks, code_points, letters, remainder, table, tidy
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 #: Groups of toxic texts that hold a feature, at least; share of the toxic texts that a further term must add.
@@ -373,6 +373,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             m = held.value
             out = [(m.score(h), len(h), ",".join(f"{m.automaton.terms[x[0]]}:{x[2]}:{x[3]}" for x in h)) for h in m.hits([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.string())))], ["doc_id", "score", "n_hits", "spans"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_hits long, spans string")
 
