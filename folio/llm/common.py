@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 #: Bytes that a broadcast table may take, by its counted rows and its columns' widths; larger ones are shuffled.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 112 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
