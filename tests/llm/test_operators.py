@@ -458,20 +458,13 @@ def test_langid_equals_brute_force(spark):
 
 def test_token_counts(spark, codec):
     lib, path = by_library(codec), shared_dir(spark, "tokens-test")
-    texts = TEXTS + [(70 + i, "x" * i) for i in range(9)]
-    docs = written(documents(spark, texts), "tokens-table")
-    file = 3 * (2 * tokencount.CLASSES[0] + 2)
-    tokencount.write(docs, path, *bpe.vocabulary(), file=file)
-    want = sorted(((i, len(lib.encode_ordinary(t or ""))) for i, t in texts), key=str)
+    tokencount.write(documents(spark, TEXTS), path, *bpe.vocabulary(), records=3)
+    want = sorted(len(lib.encode_ordinary(t or "")) for _, t in TEXTS)
     for block in (3, 64, 1 << 20):
         got = tokencount.scan(spark, path, block=block).toPandas()
-        assert sorted(got.n_tokens) == sorted(n for _, n in want) and got.ended.all()
-        assert sorted(map(tuple, tokencount.counts(docs, path, block=block, file=file).select("doc_id", "n_tokens").collect()), key=str) == want
+        assert sorted(got.n_tokens) == want and got.ended.all()
     ids = np.array([5, 6, 50256, 50256, 7], "<u2").tobytes()
     assert [x[1:5] for x in tokencount.summaries(ids, block=2)] == [(2, 2, 2, 0), (2, 0, 0, 2), (1, 1, 1, 0)]
-    empty = shared_dir(spark, "tokens-test")
-    tokencount.write(docs.limit(0), empty, *bpe.vocabulary())
-    assert tokencount.counts(docs.limit(0), empty).count() == 0
 
 
 def words(text):
@@ -526,3 +519,34 @@ def test_pipeline(spark):
     assert not any(base_spans(t) for t in texts.values())
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(contamination(t, bench)[-1] for t in list(texts.values())[:40])
+
+
+def test_pipeline_corners(spark, monkeypatch):
+    """Nulls, empty texts, repeated rows, clashing columns, and no rows at all: each stage has the result its docstring states."""
+    import corpus_pipeline as P
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40 and lang is not null").select("doc_id", "text", "lang").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], -1, -1.0, "x") for r in real]
+    text = real[0]["text"]
+    rows += [(900, None, "en", -1, -1.0, "x"), (901, "", "en", -1, -1.0, "x"), (902, "12 34", "en", -1, -1.0, "x"), (None, text, "en", -1, -1.0, "x"), (real[1]["doc_id"], real[1]["text"], "en", -1, -1.0, "x"), (903, "key Zk3Qp9Lx7Vb2Nm5Tr8Wy1Hc4Jd6Fg0Sa and " + text, None, -1, -1.0, "x")]
+    docs = written(spark.createDataFrame(rows, DOC), "corners")
+    stages = dict(P.STAGES)
+    kept = stages["language"](spark, docs, SF)
+    assert kept.schema == docs.schema and {900, 901, 902}.isdisjoint(r["doc_id"] for r in kept.collect()) and kept.where("doc_id is null").count() == 1
+    near = stages["near_duplicates"](spark, docs, SF)
+    told = by_force([(i, t) for i, t, *_ in rows], 5, 80)
+    gone = {i for i, _, c in told if c != i}
+    assert near.schema == docs.schema and sorted(r["doc_id"] for r in near.collect()) == sorted(i for i, *_ in rows if i is not None and i not in gone)
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = stages["benchmark"](spark, docs, SF)
+    bad = {i for i, t, *_ in rows if i is not None and contamination(t, bench)[-1]}
+    want = [i for i, t, *_ in rows if i not in bad and not (i is None and contamination(t, bench)[-1])]
+    assert clean.schema == docs.schema and sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted(want, key=str)
+    masked = {r["doc_id"]: r["text"] for r in stages["secrets"](spark, docs, SF).collect()}
+    assert masked[900] is None and masked[901] == "" and masked[903].startswith("key [SECRET] and ") and not any(base_spans(t or "") for t in masked.values())
+    counted = stages["tokens"](spark, docs, SF).collect()
+    assert len(counted) == len(rows) and [r["n_tokens"] for r in counted if r["doc_id"] in (900, 901)] == [0, 0]
+    none = docs.limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == "tokens" or out.columns == docs.columns), name
