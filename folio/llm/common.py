@@ -70,10 +70,10 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit, else as it is (a shuffled join). A row of a hashed relation
-    takes about 40 bytes and its columns; texts count as 64 bytes."""
-    width = 40 + sum(64 if isinstance(f.dataType, (StringType, BinaryType)) else 16 for f in df.schema.fields)
+def small(df: DataFrame, rows: int, limit: int | None = None, width: int = 0) -> DataFrame:
+    """df with a broadcast hint if its counted rows fit the limit (BROADCAST_BYTES), else as it is (a shuffled join). A row of a
+    hashed relation takes about 40 bytes and its columns (texts count as 64 bytes), or the given width."""
+    limit, width = BROADCAST_BYTES if limit is None else limit, width or 40 + sum(64 if isinstance(f.dataType, (StringType, BinaryType)) else 16 for f in df.schema.fields)
     return F.broadcast(df) if rows * width <= limit else df
 
 
