@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, chat, decontaminate, jaccard, langid, neighbours, repeats, secrets, tokencount, toxicity, warc
+from folio.llm import bpe, chat, decontaminate, jaccard, langid, negatives, neighbours, repeats, secrets, spelling, tokencount, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": langid.op8_langid,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_spelling": spelling.op11_spelling,
     "op12_substrings": repeats.op12_substrings,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
-ORACLE: dict[str, str] = jaccard.ORACLE | chat.ORACLE | warc.ORACLE | decontaminate.ORACLE | repeats.ORACLE
+ORACLE: dict[str, str] = jaccard.ORACLE | chat.ORACLE | warc.ORACLE | decontaminate.ORACLE | spelling.ORACLE | repeats.ORACLE | negatives.ORACLE
