@@ -232,20 +232,20 @@ def _removals(docs: DataFrame, window: int) -> DataFrame:
     marks = posts.groupBy("mark").agg(F.min("own").alias("first"), F.max("own").alias("last"), (F.min("run") < F.max("run")).alias("mixed")).where("first < last").select("mark", "mixed")
     marks = written(marks, "marks")
     met = written(posts.join(small(marks, marks.count()), "mark"), "met")
-    firsts = met.groupBy("mark", "run").agg(F.min("own").alias("first"))
-    met_first = met.join(firsts, ["mark", "run"])
-    judged = written(met_first.select("own", "t", "mark", "lo", "n", (F.col("own") > F.col("first")).alias("gone"), "mixed").where("gone or mixed"), "judged")
-    forget(marks, met)
+    # written, so that the join after it stands alone and Spark may split its hot keys
+    firsts = written(met.groupBy("mark", "run").agg(F.min("own").alias("first")), "first-runs")
+    judged = written(met.join(small(firsts, firsts.count()), ["mark", "run"]).select("own", "t", "mark", "lo", "n", (F.col("own") > F.col("first")).alias("gone"), "mixed").where("gone or mixed"), "judged")
+    forget(marks, met, firsts)
     # windows of runs that share their mark with other runs
     areas = written(judged.where("not gone").groupBy("own", "t").agg(F.collect_list(F.struct("mark", "lo", "n")).alias("wanted")), "areas")
     asked = docs.join(small(areas, areas.count(), width=_wide(areas)), "own").select("own", "text", "t", "wanted")
     fine = written(_windows(asked, window), "windows")
     each = fine.select("own", "t", "mark", "lo", F.posexplode("hashes").alias("i", "h"))
-    firsts = each.groupBy("mark", "h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("mark", "h", "first")
-    single = each.join(firsts, ["mark", "h"]).where("own > first").select("own", "t", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"))
+    firsts = written(each.groupBy("mark", "h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("mark", "h", "first"), "first-windows")
+    single = each.join(small(firsts, firsts.count()), ["mark", "h"]).where("own > first").select("own", "t", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"))
     gone = judged.where("gone").select("own", "t", "lo", "n").unionAll(single)
     cuts = written(gone.groupBy("own", "t").agg(F.collect_list(F.struct("lo", "n")).alias("wanted")), "cuts")
-    forget(areas, fine, judged)
+    forget(areas, fine, judged, firsts)
     changed = written(_cut(docs.join(small(cuts, cuts.count(), width=_wide(cuts)), "own").select("own", "text", "t", "wanted"), window), "changed")
     forget(cuts)
     once = changed.dropDuplicates(["own", "t"]).withColumnRenamed("sha", "left_sha")
