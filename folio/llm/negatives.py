@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ STORED = "vec_id long, label long, dim int, q binary, norm double, cell int, ang
 
 def quantised(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, their integer components) of usable vectors, by dimension."""
-    sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     at = np.concatenate(([0], np.cumsum(sizes)))
     with np.errstate(over="ignore", invalid="ignore"):
