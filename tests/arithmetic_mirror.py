@@ -1,4 +1,4 @@
-"""Document arithmetic in exact decimals: equations between printed amounts, readings, and the one fix that settles all.
+"""The rules of document arithmetic once more, in plain Python over one document at a time: what the library's columns are held against.
 
 A document is JSON: currency, header amounts, document_date, due_date, line_items, tax_lines, evidence (path to {page,
 quote}) and verified (names of fields that a person has confirmed). Each check is a linear form over amounts that must be
@@ -11,14 +11,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from decimal import ROUND_HALF_UP, Context, Decimal, Inexact, localcontext
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
 from folio.functions.money import LIMIT
 from folio.functions.printed import agreement, printed_amounts
 from folio.schemas import DEFAULT_MINOR_UNIT, MINOR_UNITS
@@ -28,7 +23,6 @@ HEADER = ("subtotal", "discount", "shipping", "tax", "tip", "total", "amount_pai
 OTHER_PLACES = 6
 TOP_RATE = Decimal("0.30")
 NUMBER = re.compile(r"-?\d+(\.\d+)?", re.A)
-REPORT = "status string, checks array<struct<id string, status string, delta string, fields array<string>>>, suggestion struct<path string, current string, value string>, error string"
 
 
 @dataclass(frozen=True)
@@ -385,34 +379,10 @@ def reconcile(doc: dict) -> dict:
         }
 
 
-def _report(text: str | None) -> dict:
-    """One bad document gives an error, never a failed job."""
+def report(text: str | None) -> dict:
+    """One bad document gives an error."""
     try:
         doc = json.loads(text, parse_float=Decimal, parse_int=Decimal)
         return reconcile(doc)
     except Exception as e:
         return {"status": None, "checks": [], "suggestion": None, "error": f"{type(e).__name__}: {e}"}
-
-
-def reports(docs: DataFrame, document: str) -> DataFrame:
-    """docs with a column report; document holds JSON. Rows with null or broken JSON get a report with an error."""
-
-    @F.pandas_udf(REPORT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([_report(t) for t in batch], columns=["status", "checks", "suggestion", "error"], dtype=object)
-
-    return docs.withColumn("report", run(F.col(document)))
-
-
-def routed(fields: DataFrame, report: Column, threshold: float = 0.9) -> DataFrame:
-    """fields (name, confidence, reviewed) with their review_reason: reviewed fields have none; the suggestion's field alone
-    if it isn't reviewed, else each field of a failed check gets the first one's id (quotes first); else low confidence."""
-    failing = F.filter(report["checks"], lambda c: c["status"] == "fail")
-    quote_first = F.concat(F.filter(failing, lambda c: c["id"].startswith("quote:")), F.filter(failing, lambda c: ~c["id"].startswith("quote:")))
-    about = F.try_element_at(F.filter(quote_first, lambda c: F.exists(c["fields"], lambda f: F.regexp_extract(f, r"^[^.\[]+", 0) == F.col("name"))), F.lit(1))["id"]
-    target = F.regexp_extract(report["suggestion"]["path"], r"^[^.\[]+", 0)
-    open_target = F.max((F.col("name") == target) & ~F.col("reviewed")).over(Window.partitionBy("document_id"))
-    flagged = F.when(F.coalesce(open_target, F.lit(False)) & (F.col("name") != target), None).otherwise(about)
-    low = F.when(F.col("confidence") < threshold, "confidence")
-    return fields.withColumn("review_reason", F.when(~F.col("reviewed"), F.coalesce(flagged, low)))

@@ -1,13 +1,16 @@
 import json
+import random
 from decimal import Decimal
 
+import arithmetic_mirror as R
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folio.functions import masking
 from folio.functions.printed import agreement, printed_amounts
-from folio.operators import reconcile as R
+from folio.operators import mutations as M
+from folio.operators import reconcile as E
 
 D = Decimal
 DOC = {"currency": "USD", "subtotal": "30.00", "discount": "2.00", "shipping": "1.50", "tax": "2.80", "total": "32.30", "amount_paid": "10.00", "amount_due": "22.30",
@@ -81,15 +84,120 @@ def test_wrong_total_never_mended_wrongly(lines, ship, off):
 
 def test_reports(spark):
     rows = spark.createDataFrame([(1, json.dumps(DOC)), (2, None), (3, "{"), (4, json.dumps(DOC | {"total": "33.30"})), (5, "[]")], "id int, doc string")
-    got = {r["id"]: r["report"] for r in R.reports(rows, "doc").collect()}
+    got = {r["id"]: r["report"] for r in E.reports(rows, "doc").collect()}
     assert got[1]["status"] == "pass" and got[4]["suggestion"]["path"] == "total"
     assert all(got[i]["status"] is None and got[i]["error"] for i in (2, 3, 5))
     fields = spark.createDataFrame([(4, "total", 0.99, False), (4, "tax", 0.2, False), (4, "subtotal", 0.99, True), (4, "vendor", 0.95, False)], "document_id int, name string, confidence double, reviewed boolean")
-    joined = fields.join(R.reports(rows, "doc").select("id", "report"), fields["document_id"] == rows["id"])
-    routes = {r["name"]: r["review_reason"] for r in R.routed(joined, joined["report"]).collect()}
+    joined = fields.join(E.reports(rows, "doc").select("id", "report"), fields["document_id"] == rows["id"])
+    routes = {r["name"]: r["review_reason"] for r in E.routed(joined, joined["report"]).collect()}
     assert routes == {"total": "total_math", "tax": "confidence", "subtotal": None, "vendor": None}
 
 
+def invented(rnd):
+    """A document that is mostly consistent, with faults, citations, confirmed fields and odd shapes."""
+    cents = lambda a, b: D(rnd.randint(a, b)) / 100
+    lines = []
+    for _ in range(rnd.randint(0, 3)):
+        q, u = rnd.choice([D(rnd.randint(1, 5)), D(rnd.randint(1, 3000)) / 1000]), cents(1, 5000)
+        lines.append({"quantity": q, "unit_price": u, "total": round(q * u, 2)})
+    s = sum((x["total"] for x in lines), D(0)) if lines else cents(100, 9999)
+    doc = {"currency": rnd.choice(["USD", "EUR", None, "KWD"]), "subtotal": s}
+    some = {k: cents(1, most) for k, most, odds in (("discount", 300, 0.4), ("shipping", 999, 0.4), ("tip", 500, 0.2)) if rnd.random() < odds}
+    rate, less = D(rnd.choice(["10", "8.875", "19", "5"])), some.get("discount", D(0))
+    doc |= some
+    tax = round((s - less) * rate / 100, 2) if rnd.random() < 0.7 else None
+    if tax is not None:
+        doc["tax"] = tax
+        if rnd.random() < 0.6:
+            doc["tax_lines"] = [{"rate": rate, "base": s - less if rnd.random() < 0.5 else None, "amount": tax}]
+            if rnd.random() < 0.2:
+                del doc["tax"]
+    total = s - less + some.get("shipping", 0) + some.get("tip", 0) + (tax or 0)
+    doc["total"] = s if rnd.random() < 0.1 else total
+    if less and rnd.random() < 0.2:
+        doc["subtotal"] = s - less
+    if lines and rnd.random() < 0.9:
+        doc["line_items"] = lines
+    if rnd.random() < 0.3:
+        doc["amount_due"] = total - (cents(0, 500) if rnd.random() < 0.5 else 0)
+    if rnd.random() < 0.2:
+        doc["amount_paid"] = cents(0, 500)
+    if rnd.random() < 0.1:
+        doc |= {"document_date": "2026-01-05", "due_date": rnd.choice(["2026-02-30", "2025-12-31", "2026-01-05", 7])}
+    if lines and rnd.random() < 0.2:
+        lines[0]["total"] = None
+    if lines and rnd.random() < 0.1:
+        doc.pop("subtotal")
+    cited = {k: {"page": rnd.choice([1, 2, None]), "quote": rnd.choice([f"{k} {v}", f"{k}: ${v:,}", f"{v} of 99.10", "none", ""])} for k, v in doc.items() if isinstance(v, D) and rnd.random() < 0.4}
+    if doc.get("tax_lines") and rnd.random() < 0.4:
+        cited["tax_lines[0].amount"] = {"page": 1, "quote": f"tax {doc['tax_lines'][0]['amount']}"}
+    if lines and rnd.random() < 0.4:
+        cited["line_items[0].total"] = {"page": 1, "quote": f"x {lines[0]['total']}"}
+    for _ in range(rnd.choice([0, 0, 1, 1, 1, 2])):
+        spot = rnd.choice([(doc, k) for k in doc if isinstance(doc[k], D)] + [(x, k) for x in lines for k in x if x[k] is not None])
+        spot[0][spot[1]] = rnd.choice([spot[0][spot[1]] + D("0.01"), spot[0][spot[1]] + 1, spot[0][spot[1]] * 10, -spot[0][spot[1]], D("12.3456789"), spot[0][spot[1]] - D("0.90")])
+    return doc | ({"evidence": cited} if cited else {}) | ({"verified": rnd.sample(["total", "tax", "subtotal", "line_items", "discount", "tax_lines"], 2)} if rnd.random() < 0.2 else {})
+
+
+def plain(report):
+    return report["status"], [(c["id"], c["status"], c["delta"], list(c["fields"])) for c in report["checks"]], report["suggestion"] and {k: report["suggestion"][k] for k in ("path", "current", "value")}
+
+
+def test_columns_equal_plain_rules(spark):
+    rnd = random.Random(11)
+    docs = [DOC, {}, *(DOC | x for x in ({"total": "33.30"}, {"subtotal": "31.00"}, {"discount": "20.00"}, {"discount": "20.00", "verified": ["shipping"]}, {"currency": "JPY"}, {"currency": 5}, {"total": "1e3"}, {"total": True}, {"total": " 32.30 "},
+            {"due_date": "2025-01-01"}, {"total": "33.30", "evidence": {"total": {"page": 1, "quote": "TOTAL $32.30"}}}, {"line_items": [7, None, {}]}, {"tax_lines": [{"rate": "10", "base": None, "amount": "2.80"}] * 2}, {"shipping": "999999999999.99"}, {"shipping": "1000000000000"}))]
+    docs += [invented(rnd) for _ in range(400)]
+    texts = [json.dumps(d, default=str) for d in docs] + [None, "{", "[]", '{"line_items": 5}', '{"evidence": 5}']
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(1000, texts[2])], "id int, doc string")
+    for key in ("id", None):
+        got = {r["id"]: r["report"] for r in E.reports(rows, "doc", key).collect()}
+        assert len(got) == len(texts) + 1 and plain(got[1000]) == plain(got[2])
+        for i, text in enumerate(texts):
+            want = R.report(text)
+            if want["status"] is None:
+                assert got[i]["status"] is None and got[i]["error"] and not got[i]["checks"]
+            else:
+                assert plain(got[i]) == plain(want), text
+    assert sum(r["suggestion"] is not None for r in got.values()) > 30
+
+
+def test_mutations_equal_plain_rules(spark):
+    doc = json.loads(json.dumps(DOC)) | {"evidence": {"total": {"page": 1, "quote": "Total 32,30 EUR"}, "tax": {"page": 1, "quote": "tax 2.80"}, "tax_lines[0].amount": {"page": 1, "quote": "tax 2.80"}, "subtotal": {"page": 1, "quote": "goods"}, "shipping": {"page": 1, "quote": "1.50"}}}
+    doc = json.loads(json.dumps(doc), parse_float=D)
+    for k in ("subtotal", "discount", "shipping", "tax", "total", "amount_paid", "amount_due"):
+        doc[k] = float(doc[k])
+    for row in doc["line_items"] + doc["tax_lines"]:
+        row.update({k: float(v) for k, v in row.items()})
+    doc["evidence"].pop("subtotal")
+    rows = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(doc | {"total": 40}))], "id int, doc string")
+    found = M.outcomes(rows, "id", "doc", M.VARIANTS).collect()
+    parsed = json.loads(json.dumps(doc), parse_float=D, parse_int=D)
+    want = list(M.mutations(parsed))
+    assert len(found) == len(want) * len(M.VARIANTS) and {r["id"] for r in found} == {1}
+    for r in found:
+        report = R.reconcile(json.loads(json.dumps(M.broken(parsed, r["path"], r["original"], r["mutated"], r["variant"])), parse_float=D, parse_int=D))
+        field = r["path"].split("[")[0]
+        about = [c for c in report["checks"] if c["status"] == "fail" and any(f.split("[")[0] == field for f in c["fields"])]
+        fix = report["suggestion"]
+        fixed = fix is not None and fix["path"] == r["path"] and D(fix["value"]) == D(r["original"])
+        assert (r["detected"], r["flagged"], r["quote_flagged"], r["fixed"], r["wrong_fix"]) == (report["status"] == "fail", bool(about), any(c["id"].startswith("quote:") for c in about), fixed, fix is not None and not fixed), r
+    # a faithful quote tells a misread value, a misread one doesn't; twins are misread together
+    flagged = {v: {(r["path"], r["kind"]) for r in found if r["variant"] == v and r["quote_flagged"]} for v in M.VARIANTS}
+    assert ("total", "misread_digit") in flagged["faithful"] and ("shipping", "misread_digit") in flagged["faithful"]
+    assert not flagged["none"] and ("total", "misread_digit") not in flagged["same_misread"] | flagged["missing"]
+    both = M.broken(parsed, "tax", "2.80", "7.80", "same_misread")
+    assert both["tax_lines"][0]["amount"] == "7.80" and both["evidence"]["tax_lines[0].amount"]["quote"] == "tax 7.80"
+
+
+@pytest.mark.parametrize("quote,before,after,want", [
+    ("Total 2,226.78", "2226.78", "2262.78", "Total 2,262.78"), ("2.226,78 EUR", "2226.78", "12226.78", "12.226,78 EUR"), ("27,82", "27.82", "28.72", "28,72"), ("x 12 of 112", "12", "21", "x 21 of 112"),
+    ("1 234.50 and 234.50", "1234.50", "5234.50", "5 234.50 and 234.50"), ("none", "5", "6", None), ("122.50", "22.50", "25.20", None), ("(5.00)", "-5.00", "-6.00", "(6.00)"),
+])
+def test_quotes_are_misread_in_their_style(quote, before, after, want):
+    assert M.misread_quote(quote, D(before), D(after)) == want
+
+
 @pytest.mark.parametrize("text,places,want", [
     ("27,82 EUR", None, ["27.82"]), ("$1,234.56", None, ["1234.56"]), ("1.234", None, ["1.234", "1234"]), ("1,000", 2, ["1000"]), ("8.875%", 2, ["8.875"]),
     ("1'234.56", None, ["1", "234.56", "1234.56"]), ("06/30/2026", None, []), ("12.05.2024", None, []), ("2 x 4.50 = 9.00", 2, ["2", "4.50", "9.00"]),
