@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-#: Bytes that a broadcast table may take, by its counted rows and its columns' widths; larger ones are shuffled.
-BROADCAST_BYTES = 112 << 20
-
+#: Bytes that a broadcast table may take in each executor, by its counted rows and its columns' widths.
+BROADCAST_BYTES = 48 << 20
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's spark.checkpoint.dir. A folder of our own is only made on a local master."""
@@ -70,11 +69,18 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int | None = None, width: int = 0) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit (BROADCAST_BYTES), else as it is (a shuffled join). A row of a
-    hashed relation takes about 40 bytes and its columns (texts count as 64 bytes), or the given width."""
-    limit, width = BROADCAST_BYTES if limit is None else limit, width or 40 + sum(64 if isinstance(f.dataType, (StringType, BinaryType)) else 16 for f in df.schema.fields)
-    return F.broadcast(df) if rows * width <= limit else df
+def small(df: DataFrame, rows: int, width: int = 0) -> DataFrame:
+    """df with a broadcast hint if its counted rows fit BROADCAST_BYTES, else as it is (a shuffled join). For tables that don't grow
+    with the documents, or hardly. A row of a hashed relation takes about 40 bytes and its columns (texts count as 64 bytes),
+    or the given width."""
+    width = width or 40 + sum(64 if isinstance(f.dataType, (StringType, BinaryType)) else 16 for f in df.schema.fields)
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+def large(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle at every size: a table that grows with the documents is never broadcast, so that a job moves
+    as much of a small input as of a large one."""
+    return df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_rows, chunks, forget, own_id, small, table, tidy, written
+from folio.llm.common import arrow_rows, chunks, forget, large, own_id, table, tidy, written
 
 #: Counters of the sketch, parts in which it is summed, and how many tasks' parts one task adds up at a time.
 SKETCH, PARTS, FAN = 1 << 22, 16, 64
@@ -312,7 +312,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         tidy()
 
     side = lambda name, e: sets.select(F.col("rid").alias(name), F.col("elements").alias(e))
-    return small(pairs, pairs.count()).join(side("a", "ea"), "a").join(side("b", "eb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return large(pairs).join(side("a", "ea"), "a").join(side("b", "eb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
 def joining(group: pa.Table, rule: Rule) -> pa.Table:
@@ -393,12 +393,12 @@ def _join(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = written(all_docs.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id")), "classes")
     # one document posts for each class of equal sets; the others' postings are left out by a join on their ids alone
     copies = written(all_docs.where("n > 0").join(classes.withColumnRenamed("doc_id", "one"), "rid").where("not doc_id <=> one").select(F.col("doc_id").alias("d"), F.col("rid").alias("r")).distinct(), "copies")
-    unique = rows.where("n > 0").join(small(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left_anti")
+    unique = rows.where("n > 0").join(large(copies), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left_anti")
     tagged = lambda c, lead: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(lead).alias("lead")))
     posts = unique.select(F.explode(F.concat(tagged("posts", True), tagged("trail", False))).alias("x"), "rid", "n").select("x.e", "x.lead", "rid", "n")
     # a list in which no set leads holds no pair
     lists = written(posts.groupBy("e").agg(F.count("*").alias("size"), F.max("lead").alias("led")).where("size > 1 and led").drop("led"), "lists")
-    members = written(posts.join(small(lists, lists.count()), "e"), "members")
+    members = written(posts.join(large(lists), "e"), "members")
     forget(first, copies, lists)
     pair = lambda x, y: F.struct(F.least(x["rid"], y["rid"]).alias("a"), F.greatest(x["rid"], y["rid"]).alias("b"))
     close = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * rule.percent
@@ -417,7 +417,7 @@ def _join(docs: DataFrame, rule: Rule) -> DataFrame:
     # whole sets, only of those that are compared; a class without any doc_id is found among all rows without one
     wanted = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).unionAll(heavy.select("rid")).distinct()
     ids = written(classes.join(wanted, "rid", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(large(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = written(sets_of(texts, rule, clashes), "sets")
     told = sets.agg(F.count("*").alias("n"), F.count_distinct("rid").alias("own")).collect()[0]
     once = sets if told["n"] == told["own"] else sets.dropDuplicates(["rid"])
@@ -435,7 +435,7 @@ def _join(docs: DataFrame, rule: Rule) -> DataFrame:
         asking = both.where("asking = 1").select("e", "rid", "comp", "asking", slot("sheets").alias("sheet"), every("blocks").alias("block"))
         others = both.select("e", "rid", "comp", F.lit(0).alias("asking"), every("sheets").alias("sheet"), slot("blocks").alias("block"))
         cells = written(asking.unionByName(others), "cells")
-        more = small(cells, cells.count()).join(once, "rid").groupBy("e", "sheet", "block").applyInArrow(lambda group: joining(group, rule), "a long, b long")
+        more = large(cells).join(once, "rid").groupBy("e", "sheet", "block").applyInArrow(lambda group: joining(group, rule), "a long, b long")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
         forget(placed, cells)
     forget(members, heavy, pairs, ids, sets, edges)
@@ -451,7 +451,7 @@ def one_of_each(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
     must be less than 2 ** 62), so they go if a document with a doc_id is in their component."""
     own = own_id(docs)
     gone = written(join(docs.select(own.alias("doc_id"), "text"), rule).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), own == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(large(gone), own == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ maximal intervals, which are cut out of the whole text.
 Distribution: texts never meet each other. Per word 2 to 3 bytes of marks are shuffled, twice; windows only where different
 runs meet. Counts are summed before they are shuffled, and every way back from counts to documents is a join that Spark may
 split, so a passage in a third of all documents loads no single task. Texts are read three times; tables that go back to them
-(areas to look at, intervals to cut) are joined by document, as a broadcast only under common.BROADCAST_BYTES.
+(areas to look at, intervals to cut) are joined by document, so texts are shuffled twice; nothing that grows with the documents
+is broadcast.
 
 Cases: null, empty and wordless texts have no words and keep the empty text; fewer than WINDOW words have no window; a window
 that is repeated in its own document only stays; rows of one doc_id never remove each other's words, whether their texts are
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_rows, forget, own_id, small, table, tidy, written
+from folio.llm.common import arrow_rows, forget, large, own_id, table, tidy, written
 from folio.llm.jaccard import BYTES, MULT, mix, powers
 
 WINDOW, GRAM = 50, 16
@@ -226,27 +227,29 @@ def _removals(docs: DataFrame, window: int) -> DataFrame:
     # one class per word sequence: only its smallest doc_id posts
     long = rows.where(F.col("n_words") >= window)
     repeated = written(long.groupBy("sha").agg(F.min("own").alias("one"), F.max("own").alias("last")).where("one < last").select("sha", "one"), "classes")
-    told = rows.join(small(repeated, repeated.count()), "sha", "left")
+    told = rows.join(large(repeated), "sha", "left")
     copied = F.coalesce(F.col("own") > F.col("one"), F.lit(False))
-    posts = told.where(~copied).select("own", "t", F.explode(F.arrays_zip("mark", "run", "lo", "n")).alias("r")).select("own", "t", "r.*")
-    marks = posts.groupBy("mark").agg(F.min("own").alias("first"), F.max("own").alias("last"), (F.min("run") < F.max("run")).alias("mixed")).where("first < last").select("mark", "mixed")
+    zipped = lambda df: df.select("own", "t", F.explode(F.arrays_zip("mark", "run", "lo", "n")).alias("r")).select("own", "t", "r.*")
+    posts = zipped(told.where(~copied))
+    # marks of all documents: those of a class alone lead to runs that meet no other, and to nothing more
+    marks = zipped(rows).groupBy("mark").agg(F.min("own").alias("first"), F.max("own").alias("last"), (F.min("run") < F.max("run")).alias("mixed")).where("first < last").select("mark", "mixed")
     marks = written(marks, "marks")
-    met = written(posts.join(small(marks, marks.count()), "mark"), "met")
+    met = written(posts.join(large(marks), "mark"), "met")
     # written, so that the join after it stands alone and Spark may split its hot keys
     firsts = written(met.groupBy("mark", "run").agg(F.min("own").alias("first")), "first-runs")
-    judged = written(met.join(small(firsts, firsts.count()), ["mark", "run"]).select("own", "t", "mark", "lo", "n", (F.col("own") > F.col("first")).alias("gone"), "mixed").where("gone or mixed"), "judged")
+    judged = written(met.join(large(firsts), ["mark", "run"]).select("own", "t", "mark", "lo", "n", (F.col("own") > F.col("first")).alias("gone"), "mixed").where("gone or mixed"), "judged")
     forget(marks, met, firsts)
     # windows of runs that share their mark with other runs
     areas = written(judged.where("not gone").groupBy("own", "t").agg(F.collect_list(F.struct("mark", "lo", "n")).alias("wanted")), "areas")
-    asked = docs.join(small(areas, areas.count(), width=_wide(areas)), "own").select("own", "text", "t", "wanted")
+    asked = docs.join(large(areas), "own").select("own", "text", "t", "wanted")
     fine = written(_windows(asked, window), "windows")
     each = fine.select("own", "t", "mark", "lo", F.posexplode("hashes").alias("i", "h"))
     firsts = written(each.groupBy("mark", "h").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("mark", "h", "first"), "first-windows")
-    single = each.join(small(firsts, firsts.count()), ["mark", "h"]).where("own > first").select("own", "t", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"))
+    single = each.join(large(firsts), ["mark", "h"]).where("own > first").select("own", "t", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"))
     gone = judged.where("gone").select("own", "t", "lo", "n").unionAll(single)
     cuts = written(gone.groupBy("own", "t").agg(F.collect_list(F.struct("lo", "n")).alias("wanted")), "cuts")
     forget(areas, fine, judged, firsts)
-    changed = written(_cut(docs.join(small(cuts, cuts.count(), width=_wide(cuts)), "own").select("own", "text", "t", "wanted"), window), "changed")
+    changed = written(_cut(docs.join(large(cuts), "own").select("own", "text", "t", "wanted"), window), "changed")
     forget(cuts)
     once = changed.dropDuplicates(["own", "t"]).withColumnRenamed("sha", "left_sha")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
@@ -256,12 +259,6 @@ def _removals(docs: DataFrame, window: int) -> DataFrame:
     return out.withColumn("n_removed", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
 
 
-def _wide(lists: DataFrame) -> int:
-    """Bytes of a row with its list, on average."""
-    r = lists.agg(F.count("*"), F.sum(F.size("wanted"))).collect()[0]
-    return 80 + 48 * (r[1] or 0) // max(1, r[0])
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with their own columns; texts of which words are removed are what is left, joined by one space, others are as
     they were."""

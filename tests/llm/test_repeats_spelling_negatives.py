@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import common, negatives, repeats, spelling
+from folio.llm import negatives, repeats, spelling
 
 DOC = "doc_id long, text string, lang string, n_words long, own long, t string, spans string"
 
@@ -65,15 +65,13 @@ def corpus(seed, n):
 
 
 @pytest.mark.parametrize("window", [50, 3])
-def test_substrings(spark, window, monkeypatch):
+def test_substrings(spark, window):
     texts = corpus(7 + window, 60)
     want = Counter((i, n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for (i, _), (n, kept) in zip(texts, by_force(texts, window), strict=True))
     docs = documents(spark, texts)
     assert any(n for _, _, n, _ in want)
-    for limit in (common.BROADCAST_BYTES, 0):  # with and without broadcasts
-        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
-        got = repeats.removals(docs, window)
-        assert Counter((r["own"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == want
+    got = repeats.removals(docs, window)
+    assert Counter((r["own"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == want
     kept = repeats.without_repeats(docs, window)
     assert kept.columns == docs.columns
     for r, n in Counter((r["doc_id"], r["text"]) for r in kept.collect()).items():
