@@ -12,10 +12,11 @@ many tasks, a first pass over every SHARE-th of them bounds each query's k-th sc
 lets only scores at or above that bound out; the result is the same with and without it. A bucket of any size, a third of all
 rows included, is spread over tasks as its rows are.
 
-Probes follow the number of rows: PROBES * rows ** -0.28 in a table. A neighbour's inner product grows with the number of
-rows that it is the nearest of, so fewer probes find it; candidates per query then grow like rows ** 0.7 on vectors without
-any structure (the hardest case; recall 0.91 to 0.96 from 500 to 200,000 of them), and less on clustered ones. Vectors of
-unequal length get twice as many.
+Probes are measured, not assumed: SEEN queries (those of smallest hash) are answered exactly in one pass over all rows, which
+also notes from how many probes a table on each of their neighbours would have been a candidate; the fewest probes that
+find AIM of these neighbours are taken. How many that is depends on the rows' number, dimension, lengths and structure (a few on
+clustered vectors, hundreds on structureless ones). Where no number up to MOST does, as on structureless vectors of many
+dimensions, hashing can't help: every row is a candidate, and the search is exact. The pass costs SEEN products a row.
 
 Vectors of unequal length get one more component, sqrt(max norm^2 - norm^2) (0 for queries), so that the nearest by angle
 are those of largest inner product. Vectors of different dimension are never compared.
@@ -33,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ from folio.llm.common import table
 
 TABLES = 32
 AXES = 2
-PROBES = 1000.0
-#: Vectors in a block of a task, and queries in a broadcast block.
-PART, QUERIES = 1 << 17, 1 << 17
+#: Most probes of a table; queries whose neighbours are measured, and the share of these that must be found.
+MOST, SEEN, AIM = 1024, 64, 0.94
+#: Vectors in a block of a task; queries in a broadcast block, and their bytes.
+PART, QUERIES, QUERY_BYTES = 1 << 17, 1 << 17, 64 << 20
 #: With more tasks than this, every SHARE-th task is searched first for a bound.
 SHARE = 16
 #: Buckets of a table are folded to this many.
@@ -122,6 +125,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, extra: np.ndarray | None, tables: int):
         self.ids, self.v = ids, v
+        if not tables:
+            return
         x = padded(v if extra is None else np.column_stack([v, extra]))
         folded = min(BUCKETS, (2 * x.shape[1]) ** AXES)
         self.order, self.at = np.empty((tables, len(v)), np.int32), np.zeros((tables, folded + 1), np.int32)
@@ -167,10 +172,10 @@ def vectors_of(batches, dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, ids, vectors) of the usable rows of Arrow batches (vec_id, embedding)."""
     for batch in batches:
         ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype)
         at = np.concatenate(([0], np.cumsum(sizes)))
-        known = ~pa.compute.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
+        known = ~pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
         for dim in np.unique(sizes[sizes > 0]).tolist():
             rows = np.flatnonzero((sizes == dim) & known)
             v = flat.reshape(-1, dim)[at[rows] // dim] if len(flat) == len(sizes) * dim else flat[at[rows][:, None] + np.arange(dim)]
@@ -201,8 +206,9 @@ def blocks(batches, dtype, part: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield made(dim)
 
 
-def _scan(rows: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], longest: float | None, k: int, tables: int, probes: int, part: int, dtype, every: int = 1) -> DataFrame:
-    """FOUND of every query of asked (dimension to ids, vectors, least scores) in the rows of every `every`-th task."""
+def _scan(rows: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], longest: float | None, k: int, tables: int, probes: int | None, part: int, dtype, every: int = 1) -> DataFrame:
+    """FOUND of every query of asked (dimension to ids, vectors, least scores) in the rows of every `every`-th task. Without
+    probes every row is a candidate."""
     held = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
@@ -216,13 +222,13 @@ def _scan(rows: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray, np.nda
                 continue
             q_ids, q, floor = held.value[dim]
             extra = None if longest is None else np.sqrt(np.maximum(longest**2 - (v.astype(np.float64) ** 2).sum(1), 0))
-            block = Block(ids, v, extra, tables)
+            block = Block(ids, v, extra, 0 if probes is None else tables)
             for a in range(0, len(q), 512):
                 some = q[a : a + 512]
                 x = padded(some if longest is None else np.column_stack([some, np.zeros(len(some))]))
-                codes = np.stack([probed(x, t, probes) for t in range(tables)])
+                codes = None if probes is None else np.stack([probed(x, t, probes) for t in range(tables)])
                 for i in range(len(some)):
-                    at = block.candidates(codes[:, i])
+                    at = np.arange(len(ids)) if codes is None else block.candidates(codes[:, i])
                     at = at[ids[at] != q_ids[a + i]]
                     own, scores = best(some[i], ids[at], v[at].astype(np.float64), k, floor[a + i])
                     if dim in known and a + i in known[dim]:
@@ -253,29 +259,67 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def measured(rows: DataFrame, dtype) -> tuple[int, float, float]:
-    """Usable rows, the largest and the smallest norm."""
+def measured(rows: DataFrame, dtype) -> tuple[int, float, float, int]:
+    """Usable rows, the largest and the smallest norm, the largest dimension."""
 
     def run(batches):
-        for _, ids, v in vectors_of(batches, dtype):
+        for dim, ids, v in vectors_of(batches, dtype):
             norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([norm.max()]), pa.array([norm.min()])], ["n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([norm.max()]), pa.array([norm.min()]), pa.array([dim], pa.int32())], ["n", "hi", "lo", "dim"])
+
+    r = rows.mapInArrow(run, "n long, hi double, lo double, dim int").agg(F.sum("n"), F.max("hi"), F.min("lo"), F.max("dim")).collect()[0]
+    return r[0] or 0, r[1] or 0.0, r[2] or 0.0, r[3] or 1
+
+
+def ladder(most: int = MOST) -> list[int]:
+    """Numbers of probes that are tried, each about 1.5 times the one before."""
+    out = [4]
+    while out[-1] < most:
+        out.append(min(most, out[-1] * 3 // 2))
+    return out
+
+
+def needed(rows: DataFrame, asking: DataFrame, longest: float | None, k: int, tables: int, part: int, dtype, aim: float = AIM) -> int | None:
+    """The fewest probes of the ladder that find `aim` of the true neighbours of SEEN queries; nothing if none do."""
+    some = gathered(asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEN), dtype)
+    held, steps = rows.sparkSession.sparkContext.broadcast(some), ladder()
 
-    r = rows.mapInArrow(run, "n long, hi double, lo double").agg(F.sum("n"), F.max("hi"), F.min("lo")).collect()[0]
-    return r[0] or 0, r[1] or 0.0, r[2] or 0.0
+    def run(batches):
+        for dim, ids, v in blocks(batches, dtype, part):
+            if dim not in held.value:
+                continue
+            q_ids, q, floor = held.value[dim]
+            extra = None if longest is None else np.sqrt(np.maximum(longest**2 - (v.astype(np.float64) ** 2).sum(1), 0))
+            block = Block(ids, v, extra, tables)
+            x = padded(q if longest is None else np.column_stack([q, np.zeros(len(q))]))
+            codes = [np.stack([probed(x, t, p) for t in range(tables)]) for p in steps]
+            for i in range(len(q)):
+                level = np.full(len(ids), len(steps), np.int32)
+                for n in reversed(range(len(steps))):  # more probes reach all that fewer do
+                    level[block.candidates(codes[n][:, i])] = n
+                at = np.flatnonzero(ids != q_ids[i])
+                own, scores = best(q[i], ids[at], v[at].astype(np.float64), k, floor[i])
+                of = {int(j): int(x) for j, x in zip(ids[at], level[at], strict=True)} if len(np.unique(ids)) == len(ids) else {}
+                for j, x in zip(ids[at], level[at], strict=True) if not of else ():
+                    of[int(j)] = min(int(x), of.get(int(j), len(steps)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q_ids[i])), pa.array(own, pa.int64()), pa.array(scores, pa.float64()), pa.array([of[int(j)] for j in own], pa.int32())], ["query_id", "vec_id", "score", "level"])
+
+    found = rows.mapInArrow(run, f"{FOUND}, level int").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("level").alias("level"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    levels = np.array([r["level"] for r in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("level").collect()])
+    return next((p for n, p in enumerate(steps) if not len(levels) or (levels <= n).mean() >= aim), None)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probes: float = PROBES, part: int = PART, block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probes: int | None = None, part: int = PART, block: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query. probes: of a table; measured if not given."""
     dtype = np.float32 if dict(vectors.dtypes).get("embedding") == "array<float>" else np.float64
     kind = "array<float>" if dtype == np.float32 else "array<double>"
     rows, asking = (x.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("embedding")) for x in (vectors, queries))
-    n, hi, lo = measured(rows, dtype)
+    n, hi, lo, dim = measured(rows, dtype)
     longest = hi if hi - lo > 1e-3 * hi else None
-    own = max(4, round(probes * max(n, 2) ** -0.28 * (1 if longest is None else 2)))
+    own = needed(rows, asking, longest, k, tables, part, dtype) if probes is None else probes
     tasks = rows.rdd.getNumPartitions()
-    count = asking.count()
-    sheets = max(1, -(-count // block))
+    sheets = max(1, -(-asking.count() // max(1, min(block, QUERY_BYTES // (8 * dim)))))
     out = None
     for sheet in range(sheets):
         some = asking if sheets == 1 else asking.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(sheets)) == sheet)

@@ -120,6 +120,23 @@ def test_neighbours_blocks_and_bound(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("dim,clustered,uneven", [(16, False, True), (64, False, False), (64, False, True), (128, False, False), (384, True, False), (384, False, True)])
+def test_neighbours_recall_is_measured(spark, dim, clustered, uneven):
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(1500, dim))
+    if clustered:
+        v = np.repeat(rng.normal(size=(50, dim)), 30, 0) + 0.3 * v
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if uneven:
+        v *= rng.lognormal(0, 1, (1500, 1))
+    e = spark.createDataFrame([(i, [float(x) for x in r], "x", 1.0) for i, r in enumerate(v)], "vec_id long, embedding array<double>, rank string, score double")
+    found = {}
+    for r in neighbours.search(e, e.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(found[q] & set([i for i in np.argsort(-(v @ v[q]), kind="stable") if i != q][:20])) / 20 for q in range(0, 1500, 20)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_near_by_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     p, rows = neighbours.op2_neighbours(spark, SF).toPandas(), e.toPandas()
