@@ -38,19 +38,19 @@ def dated_within(value: Column, start: str | None, end: str | None) -> Column:
     """Inclusive bounds on a textual date; anything but a calendar day fails a bound."""
     day, test = iso_date(value), F.lit(True)
     if start:
-        test = test & (day >= F.lit(start).cast("date"))
+        test = test & (day >= F.lit(start).try_cast("date"))
     if end:
-        test = test & (day <= F.lit(end).cast("date"))
+        test = test & (day <= F.lit(end).try_cast("date"))
     return F.coalesce(test, F.lit(False)) if start or end else F.lit(True)
 
 
 def total_within(total: Column, low: str | None, high: str | None) -> Column:
-    """Inclusive bounds; a missing total fails a bound and passes without one."""
+    """Inclusive bounds; a missing total fails a bound and passes without one. A bound that is no number lets nothing pass."""
     test = F.lit(True)
     if low is not None:
-        test = test & (total >= F.lit(low).cast("decimal(38,6)"))
+        test = test & (total >= F.lit(low).try_cast("decimal(38,6)"))
     if high is not None:
-        test = test & (total <= F.lit(high).cast("decimal(38,6)"))
+        test = test & (total <= F.lit(high).try_cast("decimal(38,6)"))
     return F.coalesce(test, F.lit(False)) if low is not None or high is not None else F.lit(True)
 
 
@@ -79,7 +79,7 @@ def zero_filled_counts(df: DataFrame, column: str, known: Sequence[str]) -> Data
 
 def calendar(df: DataFrame, start: str, end: str) -> DataFrame:
     """A row for each day between two dates."""
-    return df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
+    return df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).try_cast("date"), F.lit(end).try_cast("date"))).alias("day"))
 
 
 def on_calendar(days: DataFrame, *daily: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from folio.functions.money import to_decimal
+from folio.functions.money import stripped, to_decimal
 
 # Thresholds, the tolerance of an amount, filler words of payment terms.
 NAME_LIKE, DESCRIPTION_LIKE = 0.85, 0.80
@@ -46,7 +46,7 @@ def identifier(gold: Column, found: Column) -> Column:
 
 def calendar_day(text: Column) -> Column:
     """ISO, Y/M/D, M/D/Y, and D/M/Y where the month can't be one; null for anything else."""
-    t = F.trim(text)
+    t = stripped(text)
     part = lambda i: F.regexp_extract(t, r"^(\d{1,4})/(\d{1,2})/(\d{1,4})$", i)
     day = lambda y, m, d: F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
     slashed = F.when(F.length(part(1)) == 4, day(part(1), part(2), part(3))).when(part(1).try_cast("int") > 12, day(part(3), part(2), part(1))).otherwise(day(part(3), part(1), part(2)))

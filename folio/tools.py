@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,18 @@ from folio.operators import records as C
 from folio.operators import search as S
 
 
+def _day(text: str) -> bool:
+    try:
+        return bool(re.fullmatch(r"\d{4}-\d\d-\d\d", text, re.A)) and bool(date.fromisoformat(text))
+    except ValueError:
+        return False
+
+
+#: What texts must look like, by argument: amounts of a record, and days.
+AMOUNT = (lambda text: bool(re.fullmatch(r"[+-]?(\d{1,32}(\.\d{1,6})?|\.\d{1,6})", text.strip(), re.A)), "a plain decimal number")
+PATTERNS = {"total_min": AMOUNT, "total_max": AMOUNT, "date_from": (_day, "a day, as YYYY-MM-DD"), "date_to": (_day, "a day, as YYYY-MM-DD")}
+
+
 @dataclass(frozen=True)
 class Result:
     """Rows, or what was wrong with the call."""
@@ -46,6 +61,11 @@ class Tools:
                 return Result(error=f"{name} has no argument {key}")
             if value is not None and (not isinstance(value, types[key]) or isinstance(value, bool)):
                 return Result(error=f"{key} must be of type {types[key].__name__}")
+            if value is not None and key in PATTERNS and not PATTERNS[key][0](value):
+                return Result(error=f"{key} must be {PATTERNS[key][1]}")
+        missing = [p.name for p in signature(run).parameters.values() if p.default is p.empty and arguments.get(p.name) is None]
+        if missing:
+            return Result(error=f"{name} needs {', '.join(missing)}")
         return run(**arguments)
 
     def query_extractions(self, vendor=None, currency=None, date_from=None, date_to=None, total_min=None, total_max=None) -> Result:

@@ -32,6 +32,13 @@ def test_masked_leaf(spark):
     assert once.select("f", v.alias("v"), q.alias("q")).collect() == once.collect()
 
 
+def test_tool_arguments():
+    box = tools.Tools({})
+    for arguments, said in (({"total_min": "abc"}, "total_min"), ({"total_max": "1e3"}, "total_max"), ({"date_from": "yesterday"}, "date_from"), ({"date_to": "2026-02-30"}, "date_to"), ({"vendor": 5}, "vendor"), ({"color": "red"}, "color")):
+        assert said in box.call("query_extractions", arguments).error
+    assert "page_number" in box.call("get_page", {"document_id": "d"}).error and box.call("nothing", {}).error
+
+
 def test_tools(spark):
     pages = spark.createDataFrame([("d", 1, "a\n 4111 1111 1111 1111 \n"), ("d", 2, "b")], "document_id string, page_number int, text string")
     box = tools.Tools({"pages": pages})

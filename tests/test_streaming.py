@@ -5,7 +5,7 @@ import json
 import random
 
 from folio.sources import readers, writers
-from folio.streaming import jobs, limiter
+from folio.streaming import budget, jobs, limiter
 
 
 def brute(calls, limit):
@@ -128,3 +128,23 @@ def test_harvest(spark, tmp_path):
     out = writers.harvest(labels, {"total": F.col("total").isNotNull(), "positive": F.col("total") > 0}, str(tmp_path / "h"))
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(2, ["positive", "total"]), (3, ["positive"])]
     assert [r["doc_id"] for r in spark.read.json(str(tmp_path / "h")).collect()] == [1]
+
+
+@pytest.mark.parametrize("own,all_of", [(20, 60), (0, 60), (20, 0), (0, 0)])
+def test_budget_gate(spark, own, all_of):
+    import datetime as dt
+
+    rng = random.Random(9)
+    start = dt.datetime(2026, 1, 5, 22, 0)
+    rows = [(i, rng.choice(["a", "a", "b", None]), start + dt.timedelta(seconds=rng.randrange(0, 15_000, 30)), None if rng.random() < 0.4 else rng.randrange(0, 300) / 100) for i in range(200)]
+    rows.append((999, "a", None, None))
+    got = {r["event_id"]: (r["refused_by"], r["retry_after"]) for r in budget.gated(spark.createDataFrame(rows, "event_id long, organization_id string, at timestamp_ntz, cost double"), own, all_of).collect()}
+    want = {}
+    for i, org, at, cost in rows:
+        if cost is None and at is not None:
+            before = [(o, c) for j, o, t, c in rows if c is not None and t.date() == at.date() and (t, j) < (at, i)]
+            spent = sum(c for o, c in before if o == org)
+            by = "organization" if org and own > 0 and round(spent, 6) >= own else "installation" if all_of > 0 and round(sum(c for _, c in before), 6) >= all_of else None
+            left = 86_400 - (at - at.replace(hour=0, minute=0, second=0)).seconds
+            want[i] = (by, left if by else None)
+    assert got == want
