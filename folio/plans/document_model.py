@@ -114,11 +114,11 @@ def rec_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", F.array_join("low_confidence", ",").alias("low_confidence"), F.size("fields").alias("n_fields"))
 
 
-@query(MODEL + """SELECT document_id, concat_ws('|', CASE WHEN vendor_text IS NOT NULL THEN 'vendor_name=' || vendor_text END, CASE WHEN shown IS NULL THEN 'total=' || rtrim(rtrim(CAST(amount AS VARCHAR), '0'), '.') WHEN shown = 'null' THEN NULL ELSE 'total=' || trim(shown, '"') END) AS lines FROM facts WHERE n > 0""")
+@query(MODEL + """SELECT document_id, concat_ws('|', CASE WHEN vendor_text IS NOT NULL THEN 'vendor_name=' || vendor_text END, CASE WHEN shown IS NULL THEN 'total=' || rtrim(rtrim(CAST(amount AS VARCHAR), '0'), '.') WHEN shown = 'null' THEN NULL ELSE 'total=' || trim(shown, '"') END) AS lines FROM facts""")
 def rec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines for display of two fields, of documents extracted more than once."""
+    """Lines for display of two fields of every document."""
     documents, extractions, fields = model(spark, sf_dir)
-    rows = C.loaded(C.latest_extractions(documents, extractions), fields).where("document_id % 3 = 0")
+    rows = C.loaded(C.latest_extractions(documents, extractions), fields)
     lines = C.shown_lines(F.col("fields"), ["vendor_name", "total"])
     return rows.select("document_id", F.array_join(F.transform(lines, lambda x: F.concat(x["field"], F.lit("="), x["text"])), "|").alias("lines"))
 
@@ -224,10 +224,10 @@ def mrg_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", "field_name", C.text_of(F.col("value")).alias("value"), "confidence", F.col("evidence.page").alias("page"), F.col("evidence.quote").alias("quote"))
 
 
-@query("""WITH p AS (SELECT user_id AS document_id, event_id AS page, CASE WHEN event_id % 4 = 0 THEN NULL ELSE [event_id, event_id + 1] END AS items, CAST(event_id % 10 AS DOUBLE) / 10 AS confidence FROM events WHERE event_type <> 'click')
+@query("""WITH p AS (SELECT user_id AS document_id, event_id AS page, CASE WHEN event_id % 4 = 0 THEN NULL ELSE [event_id, event_id + 1] END AS items, CAST(event_id % 10 AS DOUBLE) / 10 AS confidence FROM events)
 SELECT document_id, coalesce(array_to_string(flatten(list(items ORDER BY page) FILTER (WHERE items IS NOT NULL)), ','), '') AS items, coalesce(min(confidence) FILTER (WHERE items IS NOT NULL), 0.0) AS confidence FROM p GROUP BY 1""")
 def mrg_page_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, i = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'click'"), F.col("event_id")
+    e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
     value = F.when(i % 4 == 0, '"no list"').otherwise(F.concat(F.lit("["), i.cast("string"), F.lit(","), (i + 1).cast("string"), F.lit("]")))
     pages = e.select(F.col("user_id").alias("document_id"), F.lit("items").alias("field_name"), i.alias("page"), value.alias("value"), ((i % 10).cast("double") / 10).alias("confidence"))
     out = G.merged_arrays(pages)

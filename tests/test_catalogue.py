@@ -4,9 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from folio.plans import catalogue, document_model, documents, evaluation, operations
+from folio.plans import catalogue, document_model, documents, evaluation, intake, operations
 
-QUERIES, ORACLE = catalogue.QUERIES | documents.QUERIES | document_model.QUERIES | evaluation.QUERIES | operations.QUERIES, catalogue.ORACLE | documents.ORACLE | document_model.ORACLE | evaluation.ORACLE | operations.ORACLE
+QUERIES, ORACLE = catalogue.QUERIES | documents.QUERIES | document_model.QUERIES | evaluation.QUERIES | intake.QUERIES | operations.QUERIES, catalogue.ORACLE | documents.ORACLE | document_model.ORACLE | evaluation.ORACLE | intake.ORACLE | operations.ORACLE
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
