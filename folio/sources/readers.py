@@ -47,7 +47,7 @@ def labels(spark: SparkSession, folder: str, doc_ids: Sequence[str] | None = Non
 def page_texts(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
     """One page per text file (doc_id.txt) whose doc_id is known."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder).select(F.url_decode(name).alias("doc_id"), F.lit(1).alias("page_number"), F.col("value").alias("text"))
+    texts = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.url_decode(name).alias("doc_id"), F.lit(1).alias("page_number"), F.col("value").alias("text"))
     return texts.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
