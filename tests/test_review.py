@@ -63,10 +63,11 @@ def test_sql_functions(spark):
 
 
 def test_search(spark):
-    chunks = spark.createDataFrame([(1, "d1", "total 27,82 EUR", [1.0, 0.0], "m"), (2, "d2", "the other chunk", [0.6, 0.8], "m"), (3, "d3", "nothing", [0.0, 1.0], "n"), (4, "d4", "the", None, "m")], "id long, document_id string, text string, embedding array<double>, model string")
-    queries = spark.createDataFrame([(9, "27.82 euros", [1.0, 0.1], "m"), (8, "the", [0.0, 1.0], "m")], "query_id long, text string, embedding array<double>, model string")
+    chunks = spark.createDataFrame([(1, "d1", "total 27,82 EUR", [1.0, 0.0], "m"), (2, "d2", "lamps other chunk", [0.6, 0.8], "m"), (3, "d3", "nothing", [0.0, 1.0], "n"), (4, "d4", "lamp", None, "m")], "id long, document_id string, text string, embedding array<double>, model string")
+    queries = spark.createDataFrame([(9, "27.82 euros", [1.0, 0.1], "m"), (8, "the lamp", [0.0, 1.0], "m"), (7, "the and of", [0.0, 0.0], "m")], "query_id long, text string, embedding array<double>, model string")
     got = {m: {q: [r["id"] for r in sorted(S.search(chunks, queries, m, 3).collect(), key=lambda r: r["position"]) if r["query_id"] == q] for q in (8, 9)} for m in ("dense", "lexical", "hybrid")}
     assert got["dense"] == {9: [1, 2], 8: [2]} and got["lexical"] == {9: [1], 8: [4, 2]} and got["hybrid"][9] == [1, 2] and set(got["hybrid"][8]) == {2, 4}
+    assert S.search(chunks, queries, "hybrid", 3).where("query_id = 7").count() == 0  # stop words alone find nothing
     assert S.search(chunks, queries, "hybrid", 3, scope=[]).count() == 0
     hit = S.search(chunks, queries, "hybrid", 1, scope=["d1", "d2"]).where("query_id = 9").first()
     assert (hit["dense_rank"], hit["lexical_rank"], hit["document_id"]) == (1, 1, "d1")
