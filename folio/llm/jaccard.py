@@ -34,6 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +159,9 @@ def choose_boundary(histogram: dict[int, int], rule: Rule, length: float = 1.0)
 
 def list_length(counts: np.ndarray, rule: Rule) -> float:
     """The mean length of the lists of prefix shingles: that of the rarest share of all occurrences that prefixes take."""
-    n = np.bincount(np.minimum(counts, 1 << 16).astype(np.int64))
+    n = np.zeros((1 << 16) + 1, np.int64)
+    for part in np.array_split(counts, max(1, len(counts) >> 18)):  # in parts, for the driver's memory
+        n += np.bincount(np.minimum(part.astype(np.int64), 1 << 16), minlength=len(n))
     occurrences = n * np.arange(len(n))
     share = occurrences.sum() * (100 - rule.percent) / 100
     rare = np.cumsum(occurrences) <= max(share, occurrences[:2].sum())
@@ -222,10 +225,14 @@ def sketch(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, dict[int, int]]:
         tasks = -(-tasks // FAN)
         if tasks <= 1:
             break
-    got = {r["part"]: np.frombuffer(r["n"], f"<u{r['width']}") for r in sums.collect()}
-    zero = np.zeros(size, np.uint32)
-    counts = np.concatenate([got.get(i, zero) for i in range(PARTS)])
-    sizes = got.get(PARTS, zero)
+    # what orders shingles needs no counts beyond 16 bits, and the driver and all tasks hold these
+    counts, sizes = np.zeros(SKETCH, np.uint16), np.zeros(2 * SMALLEST, np.uint64)
+    for r in sums.collect():
+        part = np.frombuffer(r["n"], f"<u{r['width']}")
+        if r["part"] < PARTS:
+            counts[r["part"] * size : (r["part"] + 1) * size] = np.minimum(part, 0xFFFF)
+        else:
+            sizes = part
     return counts, {i: int(sizes[i]) for i in range(1, 2 * SMALLEST) if sizes[i]}
 
 
@@ -235,9 +242,8 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def posted(docs: DataFrame, counts: np.ndarray, boundary: int, rule: Rule) -> DataFrame:
-    """doc_id, n, rid, chk (halves of the set's hash, null if empty), posts, trail of each document."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+def posted(docs: DataFrame, held: Broadcast, boundary: int, rule: Rule) -> DataFrame:
+    """doc_id, n, rid, chk (halves of the set's hash, null if empty), posts, trail of each document. held: the sketch's counts."""
 
     def run(batches):
         for batch in batches:
@@ -381,8 +387,13 @@ def join(docs: DataFrame, rule: Rule = JOIN) -> DataFrame:
 
 
 def _join(docs: DataFrame, rule: Rule) -> DataFrame:
+    tidy()  # what earlier stages have left in the driver
     counts, histogram = sketch(docs, rule)
-    first = written(posted(docs, counts, choose_boundary(histogram, rule, list_length(counts, rule)), rule), "posted")
+    boundary, held = choose_boundary(histogram, rule, list_length(counts, rule)), docs.sparkSession.sparkContext.broadcast(counts)
+    del counts
+    first = written(posted(docs, held, boundary, rule), "posted")
+    held.destroy()  # written tables don't need it again
+    tidy()
     # names that stand for several sets: fewer than one is expected in a thousand million sets
     clashes = frozenset(r["rid"] for r in first.where("n > 0").groupBy("rid").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).where("lo <> hi").select("rid").collect())
     rows = first
