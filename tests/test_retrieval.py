@@ -274,3 +274,10 @@ def test_scored_words_keep_counts_only(spark):
     found = S.scored_words(chunks, spark.createDataFrame([(1, "teas of a shop")], "query_id long, text string"), 5, "cover")
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()  # places are counted, not listed
     assert {r["id"]: r["score"] for r in found.collect()} == {1: round(300.1 / (1 + math.log(3001)), 9), 2: round(0.2 / (1 + math.log(2)), 9)}
+
+
+def test_kept_chunks_are_cut_once(spark):
+    pages = spark.createDataFrame([(1, 1, "Acme Corp\nTea total 3.00\n" * 12), (2, 1, None)], "doc_id long, page int, text string")
+    kept, plain = (G.indexed(pages, 60, 20, 16, kept=k) for k in (True, False))
+    assert "aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()  # no fold is left to be repeated
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect())) and kept.count() > 1
