@@ -281,3 +281,11 @@ def test_kept_chunks_are_cut_once(spark):
     kept, plain = (G.indexed(pages, 60, 20, 16, kept=k) for k in (True, False))
     assert "aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()  # no fold is left to be repeated
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect())) and kept.count() > 1
+
+
+def test_grid_counts_words_once_for_all_scorings(spark, monkeypatch):
+    calls, counted = [], S.counted
+    monkeypatch.setattr(S, "counted", lambda *a: calls.append(a) or counted(*a))
+    chunks, queries = spark.createDataFrame(CHUNKS, "id long, text string"), spark.createDataFrame(ASKED, "query_id long, text string")
+    found = G.rankings(chunks, queries, ("lexical",), ("idf", "cover"), 3)
+    assert len(calls) == 1 and {r["scoring"] for r in found.select("scoring").distinct().collect()} == {"idf", "cover"}
