@@ -28,26 +28,45 @@ SHOWN = 20
 LONGEST_QUOTE, LAST_PAGE, UNSURE = 200, 10_000, "confidence"
 OUTER = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+# A leaf's own keys, read in one pass, and the rows of a list by cell; what is no object is null.
+LEAF = "struct<value:variant,confidence:variant>"
+ROWS = f"array<map<string,{LEAF}>>"
 
 
 def part(leaf: Column, key: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(leaf, f"$.{key}", kind)
+    """What a leaf has under a key; all of it for "$"."""
+    return F.try_variant_get(leaf, "$" if key == "$" else f"$.{key}", kind)
 
 
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _finite(raw: Column) -> Column:
+    """A confidence as a finite number, else null; each of its parts is read once."""
+
+    def read(x: Column) -> Column:
+        words = F.regexp_replace(F.regexp_replace(F.try_variant_get(x, "$", "string"), OUTER, ""), r"(?<=\d)_(?=\d)", "")
+        text = let(words, lambda t: F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t.try_cast("double")))
+        # as JSON, since a variant's cast to a number costs far more than a text's
+        plain = lambda j: F.when(j.startswith('"'), text).when(j == "true", 1.0).when(j == "false", 0.0).when(j.rlike("^-?[0-9]"), j.try_cast("double"))
+        return let(let(F.to_json(x), plain), lambda n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n))
+
+    return let(raw, read)
+
+
 def confidence_of(leaf: Column) -> Column:
     """A leaf's confidence as a finite number, else null."""
-    raw = part(leaf, "confidence")
-    text = F.when(_kind(raw) == "STRING", F.regexp_replace(F.regexp_replace(F.try_variant_get(raw, "$", "string"), OUTER, ""), r"(?<=\d)_(?=\d)", ""))
-    number = F.when(_kind(raw) == "STRING", F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), text.try_cast("double"))).otherwise(F.try_variant_get(raw, "$", "double"))
-    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return _finite(part(leaf, "confidence"))
+
+
+def _whole(parts: Column) -> Column:
+    """Whether a leaf that was read as LEAF is well formed."""
+    return F.coalesce(parts["value"].isNotNull() & _finite(parts["confidence"]).isNotNull(), F.lit(False))
 
 
 def well_formed(leaf: Column) -> Column:
-    return F.coalesce(part(leaf, "value").isNotNull() & confidence_of(leaf).isNotNull(), F.lit(False))
+    return let(part(leaf, "$", LEAF), _whole)
 
 
 def rows_in(leaf: Column) -> Column:
@@ -59,13 +78,13 @@ def _paths(answer: Column, schema: Schema) -> Column:
     none = F.array().cast("array<string>")
 
     def of_field(name: str, cells: Sequence[str] | None) -> Column:
-        leaf = part(answer, name)
         inside = none
         if cells is not None:
             prefix = lambda i: F.concat(F.lit(f"{name}.value["), i.cast("string"), F.lit("]."))
-            row = lambda x, i: F.array_compact(F.array(*(F.when(~well_formed(part(x, c)), F.concat(prefix(i), F.lit(c))) for c in cells)))
-            inside = F.coalesce(F.flatten(F.transform(rows_in(leaf), row)), none)
-        return F.when(well_formed(leaf), inside).otherwise(F.array(F.lit(name)))
+            broken = lambda x, c: ~let(F.try_element_at(x, F.lit(c)), _whole)
+            row = lambda x, i: F.array_compact(F.array(*(F.when(broken(x, c), F.concat(prefix(i), F.lit(c))) for c in cells)))
+            inside = F.coalesce(F.flatten(F.transform(part(answer, f"{name}.value", ROWS), row)), none)
+        return F.when(let(part(answer, name, LEAF), _whole), inside).otherwise(F.array(F.lit(name)))
 
     return F.concat(*(of_field(name, cells) for name, cells in schema.items()))
 
@@ -110,7 +129,9 @@ def stored_leaf(leaf: Column, field: Column, pages: Column | None = None) -> Col
     as_json = F.when(shown.isNotNull(), _quoted(shown)).when(field.startswith("payment_") | F.is_variant_null(value), F.lit("null")).otherwise(F.to_json(value))
     whole = well_formed(leaf)
     sure = F.least(F.greatest(confidence_of(leaf), F.lit(0.0)), F.lit(1.0))
-    return F.struct(F.when(whole, as_json).otherwise("null").alias("value"), F.when(whole, sure).otherwise(0.0).alias("confidence"), F.when(whole, evidence["page"]).alias("page"), F.when(whole, quote).alias("quote"))
+    told = lambda value, sure, page, quote: F.struct(value.alias("value"), sure.alias("confidence"), page.alias("page"), quote.alias("quote"))
+    # judged once for all parts
+    return F.when(whole, told(as_json, sure, evidence["page"], quote)).otherwise(told(F.lit("null"), F.lit(0.0), F.lit(None).cast("int"), F.lit(None).cast("string")))
 
 
 def _quoted(text: Column) -> Column:
@@ -118,39 +139,41 @@ def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-def leaves(answers: DataFrame, key: str, schema: Schema) -> DataFrame:
+def leaves(answers: DataFrame, key: str, schema: Schema) -> tuple[DataFrame, DataFrame | None]:
     """key, pages, field_name, row, cell, place, leaf of each leaf that the schema asks for: fields (row and cell null), and the cells of
-    each row of fields that hold rows. answers: key, answer, perhaps pages (how many the document has)."""
+    each row of fields that hold rows (None if none do). answers: key, answer, perhaps pages (how many the document has)."""
     pages = F.col("pages").cast("int") if "pages" in answers.columns else F.lit(None).cast("int")
     held = answers.select(key, pages.alias("pages"), F.try_parse_json("answer").alias("_v"))
     own = F.array(*(F.struct(F.lit(n).alias("field_name"), part(F.col("_v"), n).alias("leaf")) for n in schema))
     nothing = [F.lit(None).cast("int").alias("row"), F.lit(None).cast("string").alias("cell"), F.lit(0).alias("place")]
-    out = held.select(key, "pages", F.explode(own).alias("_x")).select(key, "pages", "_x.field_name", *nothing, "_x.leaf")
+    fields, out = held.select(key, "pages", F.explode(own).alias("_x")).select(key, "pages", "_x.field_name", *nothing, "_x.leaf"), None
     for name, cells in schema.items():
         if cells is None:
             continue
         leaf = part(F.col("_v"), name)
         rows = held.select(key, "pages", F.posexplode_outer(F.when(well_formed(leaf), rows_in(leaf))).alias("row", "_r")).where("row is not null")
         inner = F.array(*(F.struct(F.lit(c).alias("cell"), F.lit(i).alias("place"), part(F.col("_r"), c).alias("leaf")) for i, c in enumerate(cells)))
-        out = out.unionByName(rows.select(key, "pages", "row", F.explode(inner).alias("_x")).select(key, "pages", F.lit(name).alias("field_name"), "row", "_x.cell", "_x.place", "_x.leaf"))
-    return out
+        held_cells = rows.select(key, "pages", "row", F.explode(inner).alias("_x")).select(key, "pages", F.lit(name).alias("field_name"), "row", "_x.cell", "_x.place", "_x.leaf")
+        out = held_cells if out is None else out.unionByName(held_cells)
+    return fields, out
 
 
 def fields(answers: DataFrame, key: str, schema: Schema, threshold: float, paged: bool = True) -> DataFrame:
     """One row for each answer and field of the schema: key, field_name, value, confidence, needs_review, review_reason. value is JSON
     text: the leaf as stored, with its evidence if `paged`; of a field that holds rows a list of rows of stored cells. Each key
     stands for one answer. Leaves are judged as rows of one table, so one long list is no one's task."""
-    told = leaves(answers, key, schema)
-    stored = told.withColumn("_s", stored_leaf(F.col("leaf"), F.col("field_name"), F.col("pages") if "pages" in answers.columns else None))
+    own, within = leaves(answers, key, schema)
+    paging = F.col("pages") if "pages" in answers.columns else None
     cited = F.when(F.col("_s.quote").isNotNull(), F.to_json(F.struct(F.col("_s.page").alias("page"), F.col("_s.quote").alias("quote")), {"ignoreNullFields": "false"})).otherwise("null")
     text = F.concat(F.lit('{"value":'), F.col("_s.value"), F.lit(',"confidence":'), F.col("_s.confidence").cast("string"), *([F.lit(',"evidence":'), cited] if paged else []), F.lit("}"))
-    stored = stored.select(key, "field_name", "row", "cell", "place", text.alias("text"), F.col("_s.confidence").alias("confidence"))
+    stored = lambda told: told.withColumn("_s", stored_leaf(F.col("leaf"), F.col("field_name"), paging)).select(key, "field_name", "row", "cell", "place", text.alias("text"), F.col("_s.confidence").alias("confidence"))
     lists = [n for n, cells in schema.items() if cells is not None]
     cell = F.concat(F.lit('"'), F.col("cell"), F.lit('":'), F.col("text"))
     joined = lambda parts, a, b: F.concat(F.lit(a), F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["t"]), ","), F.lit(b))
-    rows = stored.where("row is not null").groupBy(key, "field_name", "row").agg(joined(F.struct("place", cell.alias("t")), "{", "}").alias("t"))
-    rows = rows.groupBy(key, "field_name").agg(joined(F.struct("row", "t"), "[", "]").alias("_rows"))
-    whole = stored.where("row is null").join(rows, [key, "field_name"], "left")
+    whole = stored(own)
+    rows = None if within is None else stored(within).groupBy(key, "field_name", "row").agg(joined(F.struct("place", cell.alias("t")), "{", "}").alias("t"))
+    if rows is not None:
+        whole = whole.join(rows.groupBy(key, "field_name").agg(joined(F.struct("row", "t"), "[", "]").alias("_rows")), [key, "field_name"], "left")
     value = F.when(F.col("field_name").isin(*lists), F.coalesce("_rows", F.lit("[]"))).otherwise(F.col("text")) if lists else F.col("text")
     unsure = F.col("confidence") < threshold
     return whole.select(key, "field_name", value.alias("value"), "confidence", unsure.alias("needs_review"), F.when(unsure, UNSURE).alias("review_reason"))

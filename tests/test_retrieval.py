@@ -289,3 +289,20 @@ def test_grid_counts_words_once_for_all_scorings(spark, monkeypatch):
     chunks, queries = spark.createDataFrame(CHUNKS, "id long, text string"), spark.createDataFrame(ASKED, "query_id long, text string")
     found = G.rankings(chunks, queries, ("lexical",), ("idf", "cover"), 3)
     assert len(calls) == 1 and {r["scoring"] for r in found.select("scoring").distinct().collect()} == {"idf", "cover"}
+
+
+def test_answers_are_parsed_once_for_fields_and_once_for_rows(spark):
+    rows = spark.createDataFrame(list(enumerate(ANSWERS)), "id int, answer string")
+    plan = I.fields(rows, "id", SCHEMA, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 2  # a third pass kept no row
+    flat = I.fields(rows, "id", {"vendor": None, "total": None}, 0.5)
+    assert flat.count() == 2 * len(ANSWERS)
+
+
+def test_confidences_read_once_and_as_before(spark):
+    said = ["1", "0.5", "-2", "1e400", "true", "false", "null", "[1]", "{}", '"1e-2"', '" 1_0 "', '"\\t7\\n"', '"NaN"', '"inf"', '"true"', "12345678901234567890123", "1e-5", '""']
+    df = spark.createDataFrame([(i, f'{{"value": 1, "confidence": {x}}}') for i, x in enumerate(said)], "i int, t string")
+    found = df.select("i", I.confidence_of(F.parse_json("t")).alias("c"))
+    got = [r["c"] for r in sorted(found.collect(), key=lambda r: r["i"])]
+    assert got == [1, 0.5, -2, None, 1, 0, None, None, None, 0.01, 10, 7, None, None, None, 12345678901234567890123.0, 1e-5, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("$.confidence") == 1  # four before
