@@ -235,3 +235,28 @@ def test_usable_texts(spark):
 
     got = {r["_key"]: r["a_total"]["v"] is not None and not r["a_total"]["bad"] for r in reconcile.papers(docs, "d", "k").select("_key", "a_total").collect()}
     assert got == {i: good for i, (_, good) in enumerate(rows)}
+
+
+def _faulty(spark):
+    docs = [DOC, DOC | {"total": "33.30"}, DOC | {"subtotal": "31.00"}, DOC | {"line_items": [DOC["line_items"][0] | {"total": "12.00"}, DOC["line_items"][1]]}]
+    return spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, doc string").coalesce(1)
+
+
+def test_each_change_is_tried_once_and_only_where_it_may_settle_all(spark):
+    d = E.written(E._first(_faulty(spark), "doc", "id")).where("again is not null").select("_key", "again.*")
+    tried = [(r["_key"], r["path"], str(r["value"].normalize())) for r in E.candidates(d).collect()]
+    assert len(tried) == len(set(tried)) and (3, "line_items[0].total", "1E+1") in tried
+    assert not any(key == 3 and path in ("line_items[1].total", "subtotal") for key, path, _ in tried)  # they leave line_math[0] failed
+
+
+def test_reports_store_amounts_of_failed_documents_only(spark):
+    stored = {r["_key"]: r["again"] for r in E._first(_faulty(spark), "doc", "id").collect()}
+    assert stored[0] is None and all(stored[i] is not None for i in (1, 2, 3))
+
+
+def test_reports_without_suggestions(spark, monkeypatch):
+    rows = _faulty(spark)
+    want = {r["id"]: r["report"] for r in E.reports(rows, "doc", "id").collect()}
+    monkeypatch.setattr(E, "candidates", None)  # nothing is tried
+    got = {r["id"]: r["report"] for r in E.reports(rows, "doc", "id", suggest=False).collect()}
+    assert all((got[i]["status"], got[i]["checks"], got[i]["suggestion"]) == (want[i]["status"], want[i]["checks"], None) for i in want)
