@@ -242,6 +242,13 @@ def _faulty(spark):
     return spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, doc string").coalesce(1)
 
 
+def test_broken_documents_are_dealt_to_all_cores(spark, monkeypatch):
+    seen, reports = [], M.reports
+    monkeypatch.setattr(M, "reports", lambda docs, *a: seen.append(docs) or reports(docs, *a))
+    M.outcomes(_faulty(spark), "id", "doc")
+    assert seen[-1].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # it was one: the documents are small
+
+
 def test_each_change_is_tried_once_and_only_where_it_may_settle_all(spark):
     d = E.written(E._first(_faulty(spark), "doc", "id")).where("again is not null").select("_key", "again.*")
     tried = [(r["_key"], r["path"], str(r["value"].normalize())) for r in E.candidates(d).collect()]
