@@ -306,3 +306,35 @@ def test_confidences_read_once_and_as_before(spark):
     got = [r["c"] for r in sorted(found.collect(), key=lambda r: r["i"])]
     assert got == [1, 0.5, -2, None, 1, 0, None, None, None, 0.01, 10, 7, None, None, None, 12345678901234567890123.0, 1e-5, None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("$.confidence") == 1  # four before
+def test_counts_of_wanted_words_are_kept_by_chunk(spark):
+    chunks = spark.createDataFrame([(7, "Teas and tea, shops of 27,82 EUR"), (8, "coffee"), (9, None)], "id long, text string")
+    got = S.counted(chunks, spark.createDataFrame([("tea",), ("euro",), ("no",)], "lexeme string")).collect()
+    assert [(r["id"], r["size"], dict(zip(r["lexemes"], r["places"], strict=True))) for r in got] == [(7, 8, {"tea": 2, "euro": 1})]
+
+
+def test_tasks_pass_on_the_best_only(spark, monkeypatch):
+    passed, settled = [], S.settled
+    monkeypatch.setattr(S, "settled", lambda df: passed.append(settled(df)) or passed[-1])
+    chunks = spark.createDataFrame([(i, "tea " * (i % 3 + 1)) for i in range(400)], "id long, text string").coalesce(1)
+    best = S.scored_words(chunks, spark.createDataFrame([(1, "tea"), (2, "teas")], "query_id long, text string"), 5, "cover")
+    assert passed[-1].where("scoring = 'cover'").count() <= 2 * 5 * S.written(chunks).rdd.getNumPartitions()  # all 800 pairs were shuffled
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in best.collect()) == [(q, i + 1, x) for q in (1, 2) for i, x in enumerate((2, 5, 8, 11, 14))]
+    vectors = chunks.select("id", S.F.array(S.F.lit(1.0), S.F.lit(0.5)).alias("embedding"), S.F.lit("m").alias("model")).coalesce(1)
+    near = S.cosine_topk(vectors.unionAll(vectors.where("id < 0")), vectors.where("id < 3"), 4).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in near) == [(q, i + 1, x) for q in range(3) for i, x in enumerate([x for x in range(5) if x != q])]
+
+
+def test_stored_chunks_hold_neither_pages_nor_vectors(spark, monkeypatch):
+    stored, written = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: stored.append(df.columns) or written(df))
+    pages = spark.createDataFrame([(1, 1, "Acme Corp\nTea total 3.00\n" * 12), (2, 1, None)], "doc_id long, page int, text string")
+    G.hits(pages, spark.createDataFrame([(1, "tea total")], "query_id long, text string"), [(0, 0), (60, 20)], modes=("dense",), model=16)
+    assert len(stored) == 2 and not any({"text", "embedding"} & set(columns) for columns in stored)
+
+
+def test_titles_of_first_pages(spark):
+    from folio.functions import text as T
+
+    pages = spark.createDataFrame([(1, 2, "Later"), (1, 1, "\n Acme \nTea"), (2, 3, " "), (2, 4, "Shop"), (3, 1, None)], "doc_id long, page int, text string")
+    got = {(r["doc_id"], r["page"]): r["header"] for r in T.titled(pages, "doc_id", "page").collect()}
+    assert got == {(1, 1): "Acme (page 1 of 2)", (1, 2): "Acme (page 2 of 2)", (2, 3): "(page 3 of 4)", (2, 4): "(page 4 of 4)", (3, 1): "(page 1 of 1)"}
