@@ -338,3 +338,15 @@ def test_titles_of_first_pages(spark):
     pages = spark.createDataFrame([(1, 2, "Later"), (1, 1, "\n Acme \nTea"), (2, 3, " "), (2, 4, "Shop"), (3, 1, None)], "doc_id long, page int, text string")
     got = {(r["doc_id"], r["page"]): r["header"] for r in T.titled(pages, "doc_id", "page").collect()}
     assert got == {(1, 1): "Acme (page 1 of 2)", (1, 2): "Acme (page 2 of 2)", (2, 3): "(page 3 of 4)", (2, 4): "(page 4 of 4)", (3, 1): "(page 1 of 1)"}
+
+
+def test_plain_patterns_spare_no_amount_and_no_currency(spark):
+    from folio.functions import normalize as N
+
+    rows = [("27,82", "27.82", ""), ("1,234 usd", "1234", "dollar"), ("5.00", "", ""), ("uſd", "", "dollar"), ("Euros£", "", "euro pound"), ("xEURx", "", ""), (None, None, "")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "text string")
+    amounts = S.F.array_join(S.F.concat(N.eu_amounts(S.F.col("text")), N.us_amounts(S.F.col("text"))), " ")
+    got = df.select("text", amounts, S.F.array_join(N.currency_words(S.F.col("text")), " ")).collect()
+    assert [tuple(r) for r in got] == rows
+    plan = df.select(amounts)._jdf.queryExecution().optimizedPlan().toString()
+    assert N.COMMA_AMOUNT in plan
